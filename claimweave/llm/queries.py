@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import mixing, url_reputation
+from claimweave.llm import language_id, mixing, quality, toxicity, url_reputation
 
 _MODULES = {
+    "op1_toxicity": toxicity,
+    "op5_language_id": language_id,
+    "op6_quality": quality,
     "op9_mixing": mixing,
     "op10_url_reputation": url_reputation,
 }
