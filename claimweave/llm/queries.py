@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import language_id, minhash, mixing, quality, toxicity, url_reputation
+from claimweave.llm import decontaminate, language_id, minhash, mixing, quality, toxicity, url_reputation
 
 _MODULES = {
     "op1_toxicity": toxicity,
     "op5_language_id": language_id,
     "op6_quality": quality,
     "op7_minhash": minhash,
+    "op8_decontaminate": decontaminate,
     "op9_mixing": mixing,
     "op10_url_reputation": url_reputation,
 }
