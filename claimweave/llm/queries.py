@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import decontaminate, language_id, minhash, mixing, quality, toxicity, url_reputation
+from claimweave.llm import decontaminate, language_id, minhash, mixing, quality, toxicity, url_reputation, warc
 
 _MODULES = {
     "op1_toxicity": toxicity,
+    "op4_warc": warc,
     "op5_language_id": language_id,
     "op6_quality": quality,
     "op7_minhash": minhash,
