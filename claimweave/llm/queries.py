@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimweave.llm import ann, decontaminate, language_id, minhash, mixing, quality, toxicity, url_reputation, warc
+from claimweave.llm import ann, decontaminate, language_id, minhash, mixing, quality, toxicity, url_reputation, warc, wrapper
 
 _MODULES = {
     "op1_toxicity": toxicity,
+    "op2_wrapper": wrapper,
     "op3_ann": ann,
     "op4_warc": warc,
     "op5_language_id": language_id,
