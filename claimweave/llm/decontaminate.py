@@ -20,11 +20,12 @@ row, with their doc_id null too; an empty benchmark leaves every document clean.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import table
@@ -127,13 +128,13 @@ class Segment:
         return found
 
 
-def _finder(segments: list) -> object:
+def _finder(shipped: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             out: list[list[int]] = [[] for _ in texts]
             for lo in range(0, len(texts), 512):
                 docs = [tokens(t) for t in texts.iloc[lo : lo + 512]]
-                for segment in (s for shipped in segments for s in shipped.value):
+                for segment in shipped.value:
                     for d, items in enumerate(segment.retrieve(docs)):
                         by_size: dict[int, set[tuple[str, ...]]] = {}
                         out[lo + d] += [segment.items[i].item_id for i in items if segment.items[i].found_in(docs[d], by_size)]
@@ -142,37 +143,34 @@ def _finder(segments: list) -> object:
     return find
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs with item_ids: the sorted ids of the items found in the text (empty: clean)."""
-    spark = docs.sparkSession
-    passes, segment, group = [], [], []
+def items_of(text: Column, benchmark: DataFrame) -> Column:
+    """Sorted ids of the benchmark items (item_id, text) found in a text column; empty: clean."""
+    context = benchmark.sparkSession.sparkContext
+    found, group = F.array().cast("array<long>"), []
 
-    def close() -> None:
-        if segment:
-            group.append(Segment(list(segment)))
-            segment.clear()
+    def close(last: bool) -> Column:
+        if not group or len(group) < PASS and not last:
+            return found
+        find = F.pandas_udf(_finder(context.broadcast(list(group))), "array<long>")
+        group.clear()
+        return F.concat(found, find(text))
 
+    segment: list[Item] = []
     for row in benchmark.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
         item = Item(row.item_id, row.text)
         if item.words and row.item_id is not None:
             segment.append(item)
         if len(segment) == SEGMENT:
-            close()
-        if len(group) == PASS:
-            passes.append(spark.sparkContext.broadcast(list(group)))
-            group.clear()
-    close()
-    if group:
-        passes.append(spark.sparkContext.broadcast(list(group)))
-    out = docs.withColumn("item_ids", F.array().cast("array<long>"))
-    for shipped in passes:
-        find = F.pandas_udf(_finder([shipped]), "array<long>", functionType=F.PandasUDFType.SCALAR_ITER)
-        out = out.withColumn("item_ids", F.array_sort(F.concat("item_ids", find("text"))))
-    return out
+            group.append(Segment(segment))
+            segment = []
+            found = close(False)
+    if segment:
+        group.append(Segment(segment))
+    return F.array_sort(close(True))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (of the benchmark items found) of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = contaminated(docs, table(spark, sf_dir, "benchmark"))
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = docs.select("doc_id", items_of(F.col("text"), items).alias("item_ids"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")

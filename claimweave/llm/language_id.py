@@ -131,14 +131,17 @@ def language(text: Column, model: dict, spark: SparkSession) -> Column:
     return predict(text)
 
 
+def learned(doc_id: str = "doc_id") -> Column:
+    """Rows that may be learned from: crc32 mod 3 is not 1."""
+    return fold(doc_id, 3) != 1
+
+
 def identify(docs: DataFrame) -> DataFrame:
-    """docs with the columns held_out, lang_pred and score; ids whose crc32 mod 3 is 1 are held out of training."""
-    held = fold("doc_id", 3) == 1
-    model = train(docs.where(~held))
-    found = docs.withColumns({"held_out": held, "_found": language(F.col("text"), model, docs.sparkSession)})
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    """doc_id, held_out, lang_pred, score of documents (doc_id, lang, text)."""
+    model = train(docs.where(learned()))
+    found = docs.select("doc_id", (~learned()).alias("held_out"), language(F.col("text"), model, docs.sparkSession).alias("found"))
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+    return identify(table(spark, sf_dir, "documents"))

@@ -224,14 +224,17 @@ def toxicity(text: Column, model: dict, spark: SparkSession) -> Column:
     return score(text)
 
 
+def learned(doc_id: str = "doc_id") -> Column:
+    """Rows whose labels may be learned from: crc32 mod 5 is not 0."""
+    return fold(doc_id, 5) != 0
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with held_out, score, predicted and evidence; ids whose crc32 mod 5 is 0 are held out of training."""
-    held = fold("doc_id", 5) == 0
-    model = train(docs, labels.where(fold("doc_id", 5) != 0))
-    scored = docs.withColumns({"held_out": held, "_scored": toxicity(F.col("text"), model, docs.sparkSession)})
-    return scored.withColumns({"score": F.col("_scored.score"), "predicted": (F.col("_scored.score") >= 0.5).cast("int"), "evidence": F.col("_scored.evidence")}).drop("_scored")
+    """doc_id, held_out, score, predicted, evidence of documents (doc_id, text)."""
+    model = train(docs, labels.where(learned()))
+    scored = docs.select("doc_id", (~learned()).alias("held_out"), toxicity(F.col("text"), model, docs.sparkSession).alias("scored"))
+    return scored.select("doc_id", "held_out", "scored.score", (F.col("scored.score") >= 0.5).cast("int").alias("predicted"), "scored.evidence")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    return classify(docs, labels).select("doc_id", "held_out", "score", "predicted", "evidence")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
