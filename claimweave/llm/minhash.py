@@ -10,10 +10,11 @@ by ASCII white space; a shorter text is one shingle). Documents are linked at Ja
    number of ones estimates similarity closely where it is high.
 3. Star round: each document meets the smallest id of each of its buckets. Pairs whose sketches leave
    a similarity of ``SIMILAR`` possible are confirmed on full sets, and components are formed.
-4. Rest round: a bucket that still holds more than one component has its members compared across
-   components, by sketches, in pairs of chunks of at most ``CHUNK`` members; what passes is
-   confirmed on full sets too. So no bucket is capped, and no bucket's pairs inside a component are
-   made.
+4. Rest round: the documents of buckets that still hold more than one component are gathered, and
+   get finer odd sketches (``FINE_HASHES`` samples). They are compared across components within the
+   clusters that such buckets form, in pairs of chunks so that no task holds a large cluster. Pairs
+   that the finer sketches leave possible are confirmed on full sets too. No bucket is capped, and
+   no pair inside a component is made.
 
 With 32 bands of 4 values a pair at similarity 0.8 shares a bucket with probability 1 - 5e-8. Links
 and components are tables throughout; nothing of them reaches the driver.
@@ -26,6 +27,7 @@ Long texts are used whole; their hashes are made in pieces of bounded size.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,9 +39,11 @@ from claimweave.llm.common import drop_written, small, table, written
 
 SIZE, SIMILAR = 5, 0.8
 HASHES, BANDS, BITS = 128, 32, 512
-CHUNK = 256
-#: Estimated similarity below which a pair is not confirmed: about five standard deviations below SIMILAR.
-POSSIBLE = 0.6
+FINE_HASHES, FINE_BITS = 1024, 2048
+#: A cluster is cut into chunks of about CHUNK members, but no more than CHUNKS of them until chunks reach LARGE.
+CHUNK, CHUNKS, LARGE = 64, 12, 1024
+#: Estimated similarity below which a pair is not confirmed, for either sketch: about five standard deviations below SIMILAR.
+POSSIBLE, FINE_POSSIBLE = 0.6, 0.72
 _PIECE = 4096
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -52,9 +56,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _multipliers() -> tuple[np.ndarray, np.ndarray]:
-    seeds = mix(np.arange(2 * HASHES, dtype=np.uint64))
-    return seeds[:HASHES] | np.uint64(1), seeds[HASHES:]
+@lru_cache
+def _multipliers(hashes: int) -> tuple[np.ndarray, np.ndarray]:
+    seeds = mix(np.arange(2 * hashes, dtype=np.uint64))
+    return seeds[:hashes] | np.uint64(1), seeds[hashes:]
 
 
 class WordHashes(dict):
@@ -80,24 +85,30 @@ def shingles(text: str | None, size: int, words: WordHashes) -> np.ndarray:
     return np.unique(out)
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """HASHES MinHash values of a set."""
-    a, b = _multipliers()
-    least = np.full(HASHES, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for i in range(0, len(found), _PIECE):
-        least = np.minimum(least, (found[i : i + _PIECE, None] * a + b).min(axis=0))
+def signature(found: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """MinHash values of a set."""
+    a, b = _multipliers(hashes)
+    least = np.full(hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
+    piece = _PIECE * HASHES // hashes
+    for i in range(0, len(found), piece):
+        least = np.minimum(least, (found[i : i + piece, None] * a + b).min(axis=0))
     return least
 
 
-def sketch(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys and odd sketch (BITS / 64 words) of MinHash values."""
-    place = np.arange(HASHES, dtype=np.uint64)
-    stirred = mix(least ^ mix(place))
+def odd_sketch(least: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Parity bitmap of (position, MinHash value), in 64-bit words."""
+    stirred = mix(least ^ mix(np.arange(len(least), dtype=np.uint64)))
+    odd = np.bincount((stirred % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def band_keys(least: np.ndarray) -> np.ndarray:
+    """One key for each band of MinHash values."""
+    stirred = mix(least ^ mix(np.arange(len(least), dtype=np.uint64)))
     keys = mix(np.arange(BANDS, dtype=np.uint64))
     for i in range(HASHES // BANDS):
-        keys = mix(keys ^ stirred[i::HASHES // BANDS])
-    odd = np.bincount((stirred % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return keys, np.packbits(odd.astype(np.uint8)).view(np.uint64)
+        keys = mix(keys ^ stirred[i :: HASHES // BANDS])
+    return keys
 
 
 def estimate(ones: Column) -> Column:
@@ -105,9 +116,9 @@ def estimate(ones: Column) -> Column:
     return 1 + BITS / (4 * HASHES) * F.log(F.greatest(1 - 2 * ones / F.lit(float(BITS)), F.lit(1e-9)))
 
 
-def _most_ones() -> int:
-    """The largest number of ones at which the estimate reaches POSSIBLE."""
-    return int(BITS * (1 - np.exp((POSSIBLE - 1) * 4 * HASHES / BITS)) / 2)
+def most_ones(possible: float, hashes: int, bits: int) -> int:
+    """The largest number of ones of an XOR at which the estimate reaches ``possible``."""
+    return int(bits * (1 - np.exp((possible - 1) * 4 * hashes / bits)) / 2)
 
 
 def _signed(x: np.ndarray) -> list[int]:
@@ -124,8 +135,8 @@ def _sketcher(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataF
                 if not len(found):
                     rows.append((0, None, None, None))
                     continue
-                keys, odd = sketch(signature(found))
-                rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), _signed(keys), _signed(odd)))
+                least = signature(found)
+                rows.append((len(found), xxhash.xxh3_128_digest(found.tobytes()), _signed(band_keys(least)), _signed(odd_sketch(least))))
             yield pd.DataFrame(rows, columns=["n", "same", "bands", "odd"]).assign(doc_id=batch["doc_id"].to_numpy(dtype=object))
 
     return sketches
@@ -140,6 +151,15 @@ def _setter(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFra
     return sets
 
 
+def _refiner(size: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def fine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words = WordHashes()
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fine": [odd_sketch(signature(shingles(t, size, words), FINE_HASHES), FINE_BITS).tobytes() for t in batch["text"]]})
+
+    return fine
+
+
 def _confirmer(similar: float) -> Callable[[pd.Series, pd.Series], pd.Series]:
     percent = round(similar * 100)
 
@@ -198,19 +218,18 @@ def components(links: DataFrame) -> DataFrame:
 
 def _chunk_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """Pairs of a group's members, of different components, whose sketches leave the similarity possible."""
-    odd = np.array(group["odd"].tolist(), dtype=np.int64).view(np.uint64)
-    component, doc = group["component"].to_numpy(), group["doc_id"].to_numpy()
-    side = group["chunk"].to_numpy()
+    fine = np.frombuffer(b"".join(group["fine"]), dtype=np.uint64).reshape(len(group), -1)
+    component, doc, side = group["component"].to_numpy(), group["doc_id"].to_numpy(), group["chunk"].to_numpy()
     low, high = int(key[1]), int(key[2])
     left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-    most = _most_ones()
-    a, b = [], []
+    most = most_ones(FINE_POSSIBLE, FINE_HASHES, FINE_BITS)
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     for i in left:
-        others = right[(component[right] != component[i]) & ((doc[right] > doc[i]) if low == high else True)]
-        near = others[np.bitwise_count(odd[others] ^ odd[i]).sum(axis=1) <= most]
+        others = right[(component[right] != component[i]) & ((doc[right] > doc[i]) if low == high else (doc[right] != doc[i]))]
+        near = others[np.bitwise_count(fine[others] ^ fine[i]).sum(axis=1) <= most]
         a.append(np.maximum(doc[near], doc[i]))
         b.append(np.minimum(doc[near], doc[i]))
-    return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similar: float = SIMILAR) -> DataFrame:
@@ -234,22 +253,23 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similar: float = SIMILAR)
     links = confirmed(star, docs, size, similar)
     of = components(links)
 
-    # Buckets that still hold several components: their members are compared across components.
-    placed = members.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "rows", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    placed = written(placed, "placed")
+    # Buckets that still hold several components: their members form clusters, compared across components.
+    placed = written(members.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "b", F.coalesce("component", "doc_id").alias("component")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    open_ = placed.join(small(written(mixed, "mixed")), "key")
-    chunks = F.ceil(F.col("rows") / CHUNK).cast("int")
-    chunk = F.pmod(F.xxhash64("doc_id", "key"), chunks).cast("int")
-    rest = (
-        open_.select("key", "doc_id", "component", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
-        .join(odd, "doc_id")
-        .select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc_id", "component", "odd")
-    )
-    pairs = rest.groupBy("key", "low", "high").applyInPandas(_chunk_pairs, "a long, b long").distinct()
-    pairs = written(pairs.join(star, ["a", "b"], "left_anti"), "pairs")
-    if pairs.limit(1).count():
-        more = confirmed(pairs, docs, size, similar)
+    open_ = written(placed.join(small(written(mixed, "mixed")), "key").select("doc_id", "b", "component").distinct(), "open")
+    if open_.limit(1).count():
+        clusters = components(open_.select(F.col("doc_id").alias("a"), "b")).toDF("doc_id", "cluster")
+        inside = written(open_.select("doc_id", "component").distinct().join(clusters, "doc_id"), "inside")
+        rows = inside.groupBy("cluster").agg(F.count("*").alias("rows"))
+        chunks = F.greatest(F.least(F.ceil(F.col("rows") / CHUNK), F.lit(CHUNKS)), F.ceil(F.col("rows") / LARGE)).cast("int")
+        cut = inside.join(small(written(rows.select("cluster", chunks.alias("chunks")), "clusters")), "cluster")
+        ids = small(inside.select("doc_id").distinct())
+        fine = docs.join(ids, "doc_id", "left_semi").mapInPandas(_refiner(size), "doc_id long, fine binary")
+        dealt = cut.join(fine, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = dealt.select("cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc_id", "component", "fine")
+        pairs = dealt.groupBy("cluster", "low", "high").applyInPandas(_chunk_pairs, "a long, b long")
+        more = confirmed(written(pairs, "pairs"), docs, size, similar)
         if more.limit(1).count():
             of = components(links.unionByName(more))
 

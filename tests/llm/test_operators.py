@@ -183,9 +183,11 @@ def test_odd_sketch_estimates():
         cut = int(2000 * share / (1 + share) * 2)
         a, b = both[:cut], np.concatenate([both[: 2 * cut - 2000], both[cut:]])
         true = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
-        ones = int(np.bitwise_count(minhash.sketch(minhash.signature(a))[1] ^ minhash.sketch(minhash.signature(b))[1]).sum())
-        estimate = 1 + minhash.BITS / (4 * minhash.HASHES) * np.log(1 - 2 * ones / minhash.BITS)
-        assert abs(estimate - true) < 0.15
+        for hashes, bits, off in ((minhash.HASHES, minhash.BITS, 0.15), (minhash.FINE_HASHES, minhash.FINE_BITS, 0.05)):
+            x, y = (minhash.odd_sketch(minhash.signature(s, hashes), bits) for s in (a, b))
+            ones = int(np.bitwise_count(x ^ y).sum())
+            assert abs(1 + bits / (4 * hashes) * np.log(1 - 2 * ones / bits) - true) < off
+            assert (true >= 0.8) <= (ones <= minhash.most_ones(0.72, hashes, bits))
 
 
 def test_decontamination_against_all_pairs(spark, sf, items):
