@@ -1,10 +1,10 @@
 """Operator 8: benchmark decontamination by BM25 with block-max pruning.
 
 Test items are the indexed side: per term the BM25 impact of each item, items in blocks, and per
-block the largest impact of the term. Every passage of every document is a query: overlapping
+block the largest impact of the term (impacts are divided by the item's threshold). Every passage of every document is a query: overlapping
 windows of words, twice as long as the longest item and half overlapping, so that each item lies
-whole in some window. A block is opened only if the sum of its terms' block maxima reaches the least
-threshold in it (an item's threshold is ``SHARE`` of the score it gives itself); every item that
+whole in some window. A block is opened only if the sum of its terms' block maxima reaches
+the threshold (an item's threshold is ``SHARE`` of the score it gives itself); every item that
 reaches its threshold is retrieved. Retrieved items are verified on the whole document: of the
 item's ``SHINGLE``-word shingles at least ``OVERLAP`` must occur, and of both its question (all but
 the last sentence) and its answer (the last sentence) at least ``EACH``.
@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -65,10 +66,13 @@ class Item:
 
 
 class Segment:
-    """Block-max BM25 index of up to SEGMENT items."""
+    """Block-max BM25 index of up to SEGMENT items.
+
+    Impacts are divided by the item's threshold, so that each item is retrieved at a score of 1 and a
+    block's bound is as tight for its long items as for its short ones."""
 
     def __init__(self, items: list[Item]) -> None:
-        self.items = sorted(items, key=lambda i: sorted(i.words)[:8])  # alike items meet in a block
+        self.items = sorted(items, key=lambda i: (len(i.words), i.words))  # items of like length meet in a block
         self.place: dict[str, int] = {}
         rows = []
         for item in self.items:
@@ -81,50 +85,60 @@ class Segment:
         mean = np.mean([len(i.words) for i in self.items])
         self.blocks = -(-n // BLOCK)
         self.most = np.zeros((len(self.place), self.blocks), dtype=np.float32)
-        self.needs, postings = np.zeros(n), []
+        postings = []
         for d, (at, tf) in enumerate(rows):
             impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(self.items[d].words) / mean))
-            self.needs[d] = SHARE * impact.sum()
+            impact /= SHARE * impact.sum()
             np.maximum.at(self.most, (at, d // BLOCK), impact)
             postings.append((at, impact))
-        self.postings = postings
-        self.need = np.array([self.needs[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.blocks)])
+        self.inside = []  # per block its terms, and their impacts on its items; the last row is zero
+        for b in range(self.blocks):
+            own = postings[b * BLOCK : (b + 1) * BLOCK]
+            terms = np.unique(np.concatenate([at for at, _ in own]))
+            impacts = np.zeros((len(terms) + 1, len(own)))
+            for i, (at, impact) in enumerate(own):
+                impacts[np.searchsorted(terms, at), i] = impact
+            self.inside.append((terms, impacts))
         self.longest = max(len(i.words) for i in self.items)
 
-    def retrieve(self, docs: list[list[str]]) -> list[set[int]]:
-        """Per document the items that some passage retrieves."""
-        found: list[set[int]] = [set() for _ in docs]
+    def _passages(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Passage and term of each distinct term of each passage, sorted, and the document of each passage."""
         stride, length = self.longest, 2 * self.longest
-        owner, passages, base = [], [], 0
+        owner, found, base = [], [], 0
         for d, words in enumerate(docs):
-            at = np.fromiter((self.place.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+            at = np.fromiter(map(self.place.get, words, repeat(-1)), dtype=np.int64, count=len(words))
             where = np.flatnonzero(at >= 0)
-            if not len(where):
-                continue
             last = max(0, -(-(len(words) - length) // stride))  # passages 0..last start at multiples of stride
-            for shift in (0, 1):  # a word lies in passages p and p - 1
-                p = where // stride - shift
-                keep = (p >= 0) & (p <= last) if shift else p <= last
-                passages.append(np.stack([base + p[keep], at[where[keep]]], axis=1))
-            owner += [d] * (last + 1)
+            first = where // stride
+            for p in (first, first - 1):  # a word lies in passages p and p - 1
+                keep = (p >= 0) & (p <= last)
+                found.append((base + p[keep]) * len(self.place) + at[where[keep]])
+            owner.append(np.full(last + 1, d))
             base += last + 1
-        if not base:
-            return found
-        pairs = np.concatenate(passages)
-        codes = np.unique(pairs[:, 0] * len(self.place) + pairs[:, 1])
-        passage, term = codes // len(self.place), codes % len(self.place)
+        codes = np.unique(np.concatenate(found)) if found else np.zeros(0, dtype=np.int64)
+        return codes // len(self.place), codes % len(self.place), np.concatenate(owner) if owner else np.zeros(0, dtype=np.int64)
+
+    def retrieve(self, docs: list[list[str]]) -> list[set[int]]:
+        """Per document the items that some passage retrieves."""
+        found: list[set[int]] = [set() for _ in docs]
+        passage, term, owner = self._passages(docs)
         starts = np.flatnonzero(np.diff(passage, prepend=-1))
+        ends = np.append(starts[1:], len(term))
         for lo in range(0, len(starts), 4096):  # bounded pieces
-            first, end = starts[lo], starts[lo + 4096] if lo + 4096 < len(starts) else len(codes)
-            bound = np.add.reduceat(self.most[term[first:end]], starts[lo : lo + 4096] - first, axis=0)
-            for row, b in zip(*np.nonzero(bound >= self.need - 1e-3), strict=True):
-                s = starts[lo + row]
-                own = np.zeros(len(self.place), dtype=bool)
-                own[term[s : starts[lo + row + 1] if lo + row + 1 < len(starts) else len(codes)]] = True
-                for i in range(b * BLOCK, min((b + 1) * BLOCK, len(self.items))):
-                    at, impact = self.postings[i]
-                    if impact[own[at]].sum() >= self.needs[i]:
-                        found[owner[passage[s]]].add(i)
+            begin, end = starts[lo : lo + 4096], ends[lo : lo + 4096]
+            bound = np.add.reduceat(self.most[term[begin[0] : end[-1]]], begin - begin[0], axis=0)
+            for b, (terms, impacts) in enumerate(self.inside):
+                open_ = np.flatnonzero(bound[:, b] >= 1 - 1e-3)
+                if not len(open_):
+                    continue
+                sizes = end[open_] - begin[open_]
+                offsets = np.cumsum(sizes) - sizes
+                here = term[np.repeat(begin[open_] - offsets, sizes) + np.arange(sizes.sum())]
+                row = np.searchsorted(terms, here)
+                row[(row == len(terms)) | (terms[np.minimum(row, len(terms) - 1)] != here)] = len(terms)
+                scores = np.add.reduceat(impacts[row], offsets, axis=0)
+                for r, i in zip(*np.nonzero(scores >= 1 - 1e-9), strict=True):
+                    found[owner[passage[begin[open_[r]]]]].add(b * BLOCK + int(i))
         return found
 
 
