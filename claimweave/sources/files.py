@@ -78,9 +78,9 @@ def discover(spark: SparkSession, inputs: list[str]) -> DataFrame:
     # The scan passes over files without bytes; they are inputs too, and named by the same listing.
     listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string")
     key = F.lit("candidate") if found is None or single and len(single) == len(inputs) else F.url_decode(F.substring_index(F.substring_index("path", "/", -2), "/", 1))
-    scanned = found.select("path", "entity_key", "content")
-    empty = listed.join(scanned.select("path"), "path", "left_anti").select(key.alias("entity_key"), "path", F.lit(b"").alias("content"))
-    found = found.select("entity_key", "path", "content").unionByName(empty)
+    plain = F.regexp_replace(F.url_decode("path"), "^([A-Za-z0-9]+):/+", "$1:/").alias("plain")  # the listing and the scan write URIs differently
+    empty = listed.select("path", plain).join(found.select(plain), "plain", "left_anti").select(key.alias("entity_key"), "path", F.lit(b"").alias("content"))
+    found = found.unionByName(empty)
     found = found.withColumn("file", F.url_decode(F.substring_index("path", "/", -1)))
     return found.withColumn("file_seq", F.row_number().over(W.partitionBy("entity_key").orderBy("file")))
 
