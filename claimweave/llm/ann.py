@@ -3,7 +3,7 @@
 Vectors are rotated by a fixed random orthogonal matrix (distances stay) and dealt to lists by their
 nearest centroid (k-means on a bounded sample). A query probes the lists of largest inner product;
 how many is measured on the sample, by brute force, so that ``RECALL`` of the true neighbours lie in
-them (many on data without clusters, few on clustered data). Within a list the rotated coordinates lie in column blocks of ``COLUMNS``; after each block the squared
+them (many on data without clusters, few on clustered data). Within a list the rotated coordinates lie in column blocks (``FIRST``, then ``COLUMNS`` wide); after each block the squared
 distance so far, scaled up to all dimensions, is a random estimate of the whole, and a candidate is
 abandoned when it exceeds the distance of the query's current k-th best by more than
 ``1 + EPSILON * sqrt((1 - seen / dimensions) / seen)`` (the hypothesis test that it could still be
@@ -37,8 +37,10 @@ from claimweave.llm.common import share, table, written
 K = 20
 #: Vectors that the centroids are fitted on; most lists; share of true neighbours that probed lists must hold.
 SAMPLE, LISTS, RECALL = 20_000, 4096, 0.95
-PART, QUERIES = 2048, 2048
-COLUMNS, EPSILON = 16, 2.5
+PART, QUERIES = 16_384, 2048
+FIRST, COLUMNS, EPSILON = 48, 16, 2.5
+#: Pairs that are looked at together after the first block, and queries that meet a part at a time.
+PAIRS, TOGETHER = 200_000, 256
 
 
 def rotation(dims: int) -> np.ndarray:
@@ -91,35 +93,49 @@ def _stack(rows: pd.Series, dims: int) -> np.ndarray:
     return out
 
 
-def scan(q: np.ndarray, x: np.ndarray, rotated_q: np.ndarray, rotated_x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x with the largest inner products with q, at least the k best that the tests leave, and the products."""
-    dims = len(q)
-    first = min(len(x), 2 * k)
-    products = x[:first] @ q
-    best = np.partition(products, first - k)[first - k] if first >= k else -np.inf
-    kept, scores = [np.arange(first)], [products]
-    own = float(q @ q)
-    norms = np.einsum("ij,ij->i", x, x)
-    for lo in range(first, len(x), 1024):
-        alive = np.arange(lo, min(lo + 1024, len(x)))
-        limit = own + norms[alive] - 2 * best  # squared distance at which the product equals the k-th best
-        part = np.zeros(len(alive))
-        for c in range(0, dims, COLUMNS):
-            seen = min(c + COLUMNS, dims)
-            gap = rotated_x[alive, c:seen] - rotated_q[c:seen]
-            part += np.einsum("ij,ij->i", gap, gap)
-            factor = (1 + EPSILON * np.sqrt((1 - seen / dims) / seen)) ** 2 if seen < dims else 1 + 1e-9
-            keep = part * (dims / seen) <= limit * factor + 1e-9
-            alive, part, limit = alive[keep], part[keep], limit[keep]
-            if not len(alive):
-                break
-        if len(alive):
-            kept.append(alive)
-            scores.append(x[alive] @ q)
-            merged = np.concatenate(scores)
-            if len(merged) >= k:
-                best = np.partition(merged, len(merged) - k)[len(merged) - k]
-    return np.concatenate(kept), np.concatenate(scores)
+def _tested(part: np.ndarray, seen: int, dims: int, limit: np.ndarray) -> np.ndarray:
+    """Whether a squared distance over ``seen`` of the rotated dimensions leaves the whole within the limit possible."""
+    factor = (1 + EPSILON * np.sqrt((1 - seen / dims) / seen)) ** 2 if seen < dims else 1 + 1e-9
+    return part * (dims / seen) <= limit * factor + 1e-9
+
+
+def scan(q: np.ndarray, x: np.ndarray, rotated_q: np.ndarray, rotated_x: np.ndarray, k: int, allowed: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, product) of the pairs that may be among a query's k largest products.
+
+    allowed: pairs to look at (all if None). The first column block is met by all of them at once, the
+    following ones only by the pairs that the test has left; a query's limit is the k-th best product
+    with an evenly spread part of the candidates."""
+    dims, (n, m) = q.shape[1], (len(q), len(x))
+    few = np.arange(0, m, max(1, m // (32 * k)))
+    products = q @ x[few].T
+    if allowed is not None:
+        products[~allowed[:, few]] = -np.inf
+    best = np.partition(products, -k, axis=1)[:, -k] if len(few) >= k else np.full(n, -np.inf)
+    own, norms = np.einsum("ij,ij->i", q, q), np.einsum("ij,ij->i", x, x)
+    # The squared distance at which a product equals the k-th best.
+    base = own - 2 * best
+    seen = min(FIRST, dims)
+    a, b = rotated_q[:, :seen], rotated_x[:, :seen]
+    part = a @ b.T
+    part *= -2
+    part += np.einsum("ij,ij->i", a, a)[:, None]
+    part += np.einsum("ij,ij->i", b, b)
+    alive = _tested(part, seen, dims, base[:, None] + norms)
+    if allowed is not None:
+        alive &= allowed
+    rows, columns = np.nonzero(alive)
+    part = part[rows, columns]
+    out = []
+    for lo in range(0, len(rows), PAIRS):
+        r, c, p, at = rows[lo : lo + PAIRS], columns[lo : lo + PAIRS], part[lo : lo + PAIRS], seen
+        while at < dims and len(r):
+            upto = min(at + COLUMNS, dims)
+            gap = rotated_x[c, at:upto] - rotated_q[r, at:upto]
+            p, at = p + np.einsum("ij,ij->i", gap, gap), upto
+            keep = _tested(p, at, dims, base[r] + norms[c])
+            r, c, p = r[keep], c[keep], p[keep]
+        out.append((r, c, np.einsum("ij,ij->i", q[r], x[c])))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True)) if out else (np.zeros(0, dtype=int), np.zeros(0, dtype=int), np.zeros(0))
 
 
 def probes_for(x: np.ndarray, c: np.ndarray, k: int, recall: float) -> int:
@@ -157,22 +173,23 @@ def _searcher(k: int, dims: int) -> Callable[[tuple, pd.DataFrame, pd.DataFrame]
         x, q = _stack(part["embedding"], dims), _stack(queries["embedding"], dims)
         turn = rotation(dims)
         rotated_x, rotated_q = x @ turn, q @ turn
-        ids, home = part["ids"].to_list(), part["list"].to_numpy()
+        ids, names = part["ids"].to_list(), queries["query_id"].to_numpy()
+        lists, home = np.unique(part["list"].to_numpy(), return_inverse=True)
         out = []
-        for i, query_id in enumerate(queries["query_id"].to_numpy()):
-            here = np.flatnonzero(np.isin(home, queries["lists"].iloc[i]))
-            if not len(here):
-                continue
-            rows, scores = scan(q[i], x[here], rotated_q[i], rotated_x[here], k + 1)
-            rows = here[rows]
-            order = np.argsort(-scores, kind="stable")
-            rows, scores = rows[order], scores[order]
-            if len(rows) > k + 1:  # all ties of the last place stay
-                keep = scores >= scores[k]
-                rows, scores = rows[keep], scores[keep]
-            own = [(v, s) for r, s in zip(rows, scores, strict=True) for v in ids[r] if v != query_id]
-            own.sort(key=lambda p: (-p[1], p[0]))
-            out += [(query_id, v, s) for v, s in own[:k]]
+        for lo in range(0, len(q), TOGETHER):
+            hi = min(lo + TOGETHER, len(q))
+            probed = np.stack([np.isin(lists, own) for own in queries["lists"].iloc[lo:hi]])
+            rows, columns, products = scan(q[lo:hi], x, rotated_q[lo:hi], rotated_x, k + 1, probed[:, home])
+            order = np.lexsort((-products, rows))
+            rows, columns, products = rows[order], columns[order], products[order]
+            ends = np.searchsorted(rows, np.arange(hi - lo + 1))
+            for i in range(hi - lo):
+                c, s = columns[ends[i] : ends[i + 1]], products[ends[i] : ends[i + 1]]
+                if len(c) > k + 1:  # all ties of the last place stay
+                    c, s = c[s >= s[k]], s[s >= s[k]]
+                own = [(v, score) for at, score in zip(c, s, strict=True) for v in ids[at] if v != names[lo + i]]
+                own.sort(key=lambda p: (-p[1], p[0]))
+                out += [(names[lo + i], v, score) for v, score in own[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]) if out else empty
 
     return search

@@ -236,10 +236,11 @@ def test_scan_agrees_with_full_products():
     turn = ann.rotation(64)
     assert np.allclose(turn @ turn.T, np.eye(64))
     hits = 0
-    for q in x[:20]:
-        rows, scores = ann.scan(q, x, q @ turn, x @ turn, 10)
-        assert np.allclose(scores, x[rows] @ q)
-        hits += len(set(rows[np.argsort(-scores)[:10]]) & set(np.argsort(-(x @ q))[:10]))
+    rows, columns, products = ann.scan(x[:20], x, x[:20] @ turn, x @ turn, 10)
+    assert np.allclose(products, np.einsum("ij,ij->i", x[rows], x[columns])) and len(rows) < 20 * len(x) / 4
+    for i, q in enumerate(x[:20]):
+        own = columns[rows == i][np.argsort(-products[rows == i])[:10]]
+        hits += len(set(own) & set(np.argsort(-(x @ q))[:10]))
     assert hits >= 195
 
 
