@@ -43,8 +43,8 @@ def strip(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """Case-folded, for comparison."""
-    return F.lower(F.upper(x))
+    """Case-folded, for comparison; the concatenation keeps the optimizer from taking ``upper`` out."""
+    return F.lower(F.concat(F.upper(x), F.lit("")))
 
 
 def title_case(x: Column) -> Column:
