@@ -39,11 +39,11 @@ from claimweave.llm.common import drop_written, small, table, written
 
 SIZE, SIMILAR = 5, 0.8
 HASHES, BANDS, BITS = 128, 32, 512
-FINE_HASHES, FINE_BITS = 1024, 2048
+FINE_HASHES, FINE_BITS = 2048, 4096
 #: A cluster is cut into chunks of about CHUNK members, but no more than CHUNKS of them until chunks reach LARGE.
 CHUNK, CHUNKS, LARGE = 64, 12, 1024
 #: Estimated similarity below which a pair is not confirmed, for either sketch: about five standard deviations below SIMILAR.
-POSSIBLE, FINE_POSSIBLE = 0.6, 0.72
+POSSIBLE, FINE_POSSIBLE = 0.6, 0.745
 _PIECE = 4096
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 

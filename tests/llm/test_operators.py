@@ -187,7 +187,7 @@ def test_odd_sketch_estimates():
             x, y = (minhash.odd_sketch(minhash.signature(s, hashes), bits) for s in (a, b))
             ones = int(np.bitwise_count(x ^ y).sum())
             assert abs(1 + bits / (4 * hashes) * np.log(1 - 2 * ones / bits) - true) < off
-            assert (true >= 0.8) <= (ones <= minhash.most_ones(0.72, hashes, bits))
+            assert (true >= 0.8) <= (ones <= minhash.most_ones(minhash.FINE_POSSIBLE, hashes, bits))
 
 
 def test_decontamination_against_all_pairs(spark, sf, items):
