@@ -54,6 +54,14 @@ def drop_written(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Python workers of this session get at most ``rows`` rows at a time, unless the session already has
+    fewer: texts can be long, and a batch is held several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def fold(doc_id: Column | str, parts: int) -> Column:
     """crc32(doc_id as text) mod parts; a null id counts as empty text."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

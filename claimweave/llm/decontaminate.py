@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import table
+from claimweave.llm.common import small_batches, table
 
 SHINGLE, OVERLAP, EACH = 5, 0.8, 0.5
 SHARE = 0.5
@@ -160,6 +160,7 @@ def _finder(shipped: Broadcast) -> Callable[[Iterator[pd.Series]], Iterator[pd.S
 def items_of(text: Column, benchmark: DataFrame) -> Column:
     """Sorted ids of the benchmark items (item_id, text) found in a text column; empty: clean."""
     context = benchmark.sparkSession.sparkContext
+    small_batches(benchmark.sparkSession)
     found, group = F.array().cast("array<long>"), []
 
     def close(last: bool) -> Column:

@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import fold, share, small, table
+from claimweave.llm.common import fold, share, small, small_batches, table
 
 #: Bound of the training sample, in documents of each language (as expected by the hash).
 PER_LANGUAGE = 2500
 #: Most words, and n-grams of each length, that a language keeps; and most entries of the model.
-GRAMS, ENTRIES = 20_000, 600_000
+GRAMS, ENTRIES = 20_000, 400_000
 LONGEST = 5
 #: log10 frequency of what a language does not have; words that count as evidence.
 PENALTY, EVIDENCE = -7.0, 20
@@ -64,6 +64,7 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """The model from rows (doc_id, lang, text): languages, and log10 frequencies per length (0: words)."""
+    small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
     sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
     sample = known.join(small(sizes, 100_000), "lang").where(share(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 5) * F.col("rows") < per_language)
@@ -74,28 +75,29 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     most = max(100, min(GRAMS, ENTRIES // max(1, len(languages) * (LONGEST + 1))))
     rows = best.where((F.col("rank") <= most) & ((F.col("c") > 1) | (F.col("n") < 3) & (F.col("n") > 0))).select("lang", "n", "gram", F.log10(F.col("c") / F.col("total")).alias("score")).toPandas()
     place = {lang: i for i, lang in enumerate(languages)}
-    kinds: list[dict[str, np.ndarray]] = [{} for _ in range(LONGEST + 1)]
-    for lang, n, gram, score in rows.itertuples(index=False):
-        kinds[n].setdefault(gram, np.full(len(languages), PENALTY, dtype=np.float32))[place[lang]] = score
-    return {"languages": languages, "kinds": kinds}
+    kinds: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # rows of one table: small in every worker
+    at = np.array([kinds[n].setdefault(gram, sum(map(len, kinds))) for n, gram in zip(rows["n"], rows["gram"], strict=True)], dtype=np.int64)
+    scores = np.full((sum(map(len, kinds)), len(languages)), PENALTY, dtype=np.float32)
+    scores[at, rows["lang"].map(place).to_numpy(dtype=np.int64)] = rows["score"].to_numpy(dtype=np.float32)
+    return {"languages": languages, "kinds": kinds, "scores": scores}
 
 
 class Scorer(dict):
     """Words seen so far, by their row in ``rows``; bounded, as it is emptied when full."""
 
-    def __init__(self, model: dict, room: int = 200_000) -> None:
+    def __init__(self, model: dict, room: int = 100_000) -> None:
         super().__init__()
-        self.languages, self.kinds, self.room = model["languages"], model["kinds"], room
+        self.languages, self.kinds, self.scores, self.room = model["languages"], model["kinds"], model["scores"], room
         self.rows = np.zeros((1024, len(self.languages)), dtype=np.float32)
 
     def vector(self, word: str) -> np.ndarray:
         found = self.kinds[0].get(word)
         if found is not None:
-            return found
+            return self.scores[found]
         for n in range(LONGEST, 0, -1):
-            rows = [v for g in grams(word, n) if (v := self.kinds[n].get(g)) is not None]
+            rows = [at for g in grams(word, n) if (at := self.kinds[n].get(g)) is not None]
             if rows:
-                return np.mean(rows, axis=0)
+                return self.scores[rows].mean(axis=0)
         return np.full(len(self.languages), PENALTY, dtype=np.float32)
 
     def __missing__(self, word: str) -> int:
@@ -120,6 +122,7 @@ class Scorer(dict):
 
 def language(text: Column, model: dict, spark: SparkSession) -> Column:
     """Struct (lang_pred, score) of a text column."""
+    small_batches(spark)
     shipped = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import drop_written, small, table, written
+from claimweave.llm.common import drop_written, small, small_batches, table, written
 
 SIZE, SIMILAR = 5, 0.8
 HASHES, BANDS, BITS = 128, 32, 512
@@ -234,6 +234,7 @@ def _chunk_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similar: float = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of documents (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "n long, same binary, bands array<long>, odd array<long>, doc_id long"
     made = written(docs.mapInPandas(_sketcher(size), schema), "sketches")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import fold, share, table, written
+from claimweave.llm.common import fold, share, small_batches, table, written
 
 #: Bounds of the training sample (labelled rows, as expected by the hash) and of the vocabulary.
 SAMPLE, TERMS = 20_000, 2048
@@ -177,6 +177,7 @@ def calibrate(index: BlockMaxIndex) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Index and calibration from documents (doc_id, text) and labels (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rows = known.count()
     # At most about `sample` rows of two numbers: a proven bound for the broadcast.

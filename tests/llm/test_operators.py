@@ -114,8 +114,8 @@ def test_language_on_held_out(spark, sf, rows):
 
 
 def test_unseen_words_back_off():
-    kinds = [{"known": np.array([-1.0, -7.0])}, {}, {"zq": np.array([-7.0, -1.0])}, {}, {}, {}]
-    scorer = language_id.Scorer({"languages": ["a", "b"], "kinds": kinds})
+    scores = np.array([[-1.0, -7.0], [-7.0, -1.0]], dtype=np.float32)
+    scorer = language_id.Scorer({"languages": ["a", "b"], "kinds": [{"known": 0}, {}, {"zq": 1}, {}, {}, {}], "scores": scores})
     assert scorer.predict("known")[0] == "a" and scorer.predict("xzqx")[0] == "b" and scorer.predict("- 1 ")[0] == "und"
 
 
