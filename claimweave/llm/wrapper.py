@@ -1,22 +1,22 @@
 """Operator 2: main text of HTML pages by wrapper induction.
 
-Up to ``PAGES`` pages of each host, chosen by a hash, are parsed into DOM trees and aligned one after
-the other by simple tree matching (the largest set of matching nodes that keeps parents and order;
-runs of like siblings count as one repeated node). What is aligned becomes the wrapper: a node whose
-text is the same on all pages is template, one whose text varies is a slot, a node that some pages
-lack is optional. Each page of the host is then aligned with the wrapper, and the text of its slots
-is its content, in page order.
+Up to ``PAGES`` distinct pages of each host, chosen by a hash, are parsed into DOM trees and aligned one
+after the other by simple tree matching (the largest set of matching nodes that keeps parents and order;
+runs of like siblings count as one repeated node). What is aligned becomes the host's frame, which only
+says which nodes of its pages are the same slot. Then every page of the host is aligned with the frame
+(a node that the frame lacks is a slot by its path), and for each slot the texts of all distinct pages
+are counted: a text is template if ``SUPPORT`` pages and nine in ten of those that have the slot have
+that very text there. The content of a page is its texts that are not template, in page order.
 
 Slots also vary in menus, adverts or footers, so a slot is told from boilerplate by where it lies:
 below an element that HTML or its class, id or role marks as one (``BOILERPLATE``), or in a repeated
-node most of whose text, over all aligned pages, is inside links. If the wrapper has a marked main
-region (``article``, ``main``), only slots in it are content. A template text counts only on the
-evidence of ``SUPPORT`` pages, and never removes all text of a page. A page of a host with fewer
-pages is aligned with whatever wrapper they give. What is in a page but not in the wrapper is judged
-by the same marks alone.
+node most of whose text, over all distinct pages of the host, is inside links. If a page has a marked
+main region (``article``, ``main``), only slots in it are content. A page's own text is compared with
+the templates, so a text that differs stays, and templates never remove all text of a page.
 
-Pages per host that go to induction are bounded, so the largest host is one small group; wrappers
-are broadcast only if they are counted and small, else joined.
+Pages per host that make the frame are bounded, and the counts are added up on the map side by slot and
+text, so the largest host is no large group; wrappers are broadcast only if they are counted and small,
+else joined.
 
 Cases: null or empty html gives an empty text; broken or truncated markup is closed as a browser
 would (unclosed elements end with their parent); a null url is a host of its own; html without
@@ -28,16 +28,17 @@ from __future__ import annotations
 import html as entities
 import pickle
 import re
-from collections.abc import Callable, Iterator
+from hashlib import blake2b
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import table, written
+from claimweave.llm.common import small, table, written
 
-#: Pages of a host that its wrapper is induced from, and pages that make equal text a template.
+#: Pages of a host that its frame is made from, and least pages that make equal text a template.
 PAGES, SUPPORT = 8, 5
 #: Most bytes and rows of all wrappers together that are broadcast.
 BROADCAST_BYTES = 32 << 20
@@ -167,39 +168,42 @@ def clean(run: list[tuple[str, bool]]) -> str:
 
 
 class Slot:
-    """A node of a wrapper: like elements of all aligned pages. Runs of text are slots named '#text'."""
+    """A node of a frame: like elements of all aligned pages. Runs of text are slots named '#text'."""
 
-    __slots__ = ("children", "key", "linked", "mark", "pages", "size", "texts", "values")
+    __slots__ = ("children", "key")
 
     def __init__(self, key: tuple[str, str]) -> None:
         self.key, self.children = key, []
-        self.pages = self.texts = self.size = self.linked = 0
-        self.values: set[str] = set()
 
-    @property
-    def template(self) -> bool:
-        """The same text on enough pages, once on each."""
-        return self.pages >= SUPPORT and len(self.values) == 1 and self.texts == self.pages
+
+class Wrapper:
+    """A host's frame, and what its pages say about slots: hashes of template texts, and repeated nodes of links."""
+
+    __slots__ = ("fixed", "frame", "menus")
+
+    def __init__(self, frame: Slot, fixed: Iterable[int] = (), menus: Iterable[int] = ()) -> None:
+        self.frame, self.fixed, self.menus = frame, frozenset(fixed), frozenset(menus)
 
 
 class Tree:
-    """A page's node for alignment: runs of like siblings are one group."""
+    """A page's node for alignment: runs of like siblings are one group. size, linked: letters below it, and inside links."""
 
-    __slots__ = ("groups", "key", "run", "skip", "text")
+    __slots__ = ("groups", "key", "linked", "run", "size", "skip", "text")
 
-    def __init__(self, node: Node | None, run: list | None = None, whole: bool = True) -> None:
-        """whole: boilerplate too is gone through, as induction does."""
+    def __init__(self, node: Node | None, run: list | None = None) -> None:
         self.run, self.groups, self.skip, self.text = run, [], False, clean(run) if run else ""
+        self.size, self.linked = len(self.text), sum(len(t) for t, link in run if link) if run else 0
         self.key = ("#text", "") if node is None else (node.name, _shape(node.mark))
         if node is None:
             return
         self.skip = marked(node)
-        if self.skip and not whole or node.name in RAW:
+        if node.name in RAW:
             return
         for part in blocks(node):
-            child = Tree(part, None, whole) if isinstance(part, Node) else Tree(None, part)
+            child = Tree(part) if isinstance(part, Node) else Tree(None, part)
             if child.run is not None and not child.text:
                 continue
+            self.size, self.linked = self.size + child.size, self.linked + child.linked
             if self.groups and self.groups[-1][0] == child.key:
                 self.groups[-1][1].append(child)
             else:
@@ -242,20 +246,9 @@ def match(slots: list[Slot], groups: list[tuple]) -> list[tuple[int, int]]:
 
 
 def learn(slot: Slot, trees: list[Tree]) -> None:
-    """Align like siblings of one page with a wrapper node, and widen it by what it lacks."""
-    slot.pages += 1
-    if slot.key[0] == "#text":
-        for tree in trees:
-            slot.texts += 1
-            if len(slot.values) < 2:
-                slot.values.add(tree.text)
-            slot.size += len(tree.text)
-            slot.linked += sum(len(t) for t, link in tree.run if link)
-        return
-    seen: set[int] = set()
+    """Align like siblings of one page with a frame's node, and widen it by what it lacks."""
     for tree in trees:
-        pairs = match(slot.children, tree.groups)
-        at = {j: slot.children[i] for i, j in pairs}
+        at = {j: slot.children[i] for i, j in match(slot.children, tree.groups)}
         where = 0
         for j, (key, like) in enumerate(tree.groups):
             if j in at:
@@ -265,65 +258,78 @@ def learn(slot: Slot, trees: list[Tree]) -> None:
                 child = Slot(key)
                 slot.children.insert(where, child)
                 where += 1
-            before = child.pages
             learn(child, like)
-            if id(child) in seen:  # several like siblings of one page count as one page
-                child.pages = before
-            seen.add(id(child))
 
 
 def induce(pages: list[str | None]) -> Slot:
-    """The wrapper of pages of one host."""
+    """The frame of pages of one host."""
     root = Slot(("#page", ""))
     for page in pages:
         learn(root, [Tree(parse(page))])
     return root
 
 
-def linked(slot: Slot) -> tuple[int, int]:
-    size, inside = slot.size, slot.linked
-    for child in slot.children:
-        s, i = linked(child)
-        size, inside = size + s, inside + i
-    return size, inside
-
-
 def _has_main(tree: Tree) -> bool:
     return any(key[0] in MAIN or _has_main(t) for key, like in tree.groups if not like[0].skip for t in like)
 
 
-def extract(page: str | None, wrapper: Slot | None) -> str:
-    """Main text of a page by its host's wrapper: one line a block."""
-    tree = Tree(parse(page), whole=False)
-    only_main = _has_main(tree)
-    kept: list[tuple[str, bool]] = []
+def _hash(*parts: object) -> int:
+    """A number other than 0 for these parts."""
+    return int.from_bytes(blake2b(repr(parts).encode("utf-8", "backslashreplace"), digest_size=8).digest(), "little", signed=True) or 1
+
+
+def placed(page: str | None, frame: Slot | None) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int, list[int]]]:
+    """The texts of a page outside marked boilerplate, each with its slot and the repeated nodes that it
+    lies in; and size and linked size of the nodes that may be repeated, by slot."""
+    top = Tree(parse(page))
+    only_main = _has_main(top)
+    kept: list[tuple[str, int, tuple[int, ...]]] = []
+    sizes: dict[int, list[int]] = {}
 
-    def walk(tree: Tree, slot: Slot | None, inside: bool, menu: bool) -> None:
+    def walk(tree: Tree, slot: Slot | None, name: int, inside: bool, menus: tuple[int, ...]) -> None:
         if tree.skip:
             return
         if tree.run is not None:
             if inside:
-                kept.append((tree.text, menu or slot is not None and slot.template))
+                kept.append((tree.text, name, menus))
             return
         inside = inside or tree.key[0] in MAIN
-        pairs = {j: slot.children[i] for i, j in match(slot.children, tree.groups)} if slot else {}
-        for j, (_, like) in enumerate(tree.groups):
-            child = pairs.get(j)
-            links = False
-            if child is not None and len(like) > 1 and like[0].key[0] in ("li", "td", "div"):
-                size, within = linked(child)
-                links = size > 0 and within > 0.6 * size
+        pairs = {j: i for i, j in match(slot.children, tree.groups)} if slot else {}
+        seen: dict[tuple[str, str], int] = {}
+        for j, (key, like) in enumerate(tree.groups):
+            i = pairs.get(j)
+            if i is None:  # not in the frame: a slot by its path
+                seen[key] = seen.get(key, 0) + 1
+                child, own = None, _hash(name, key, seen[key])
+            else:
+                child, own = slot.children[i], _hash(name, i)
+            within = menus
+            if key[0] in ("li", "td", "div"):
+                total = sizes.setdefault(own, [0, 0])
+                total[0] += sum([t.size for t in like])
+                total[1] += sum([t.linked for t in like])
+                if len(like) > 1:
+                    within = (*menus, own)
             for t in like:
-                walk(t, child, inside, menu or links)
+                walk(t, child, own, inside, within)
+
+    walk(top, frame, 0, not only_main, ())
+    return kept, sizes
 
-    walk(tree, wrapper, not only_main, False)
-    slots = [text for text, fixed in kept if not fixed]
-    return "\n".join(slots or [text for text, _ in kept])
+
+def extract(page: str | None, wrapper: Wrapper | None) -> str:
+    """Main text of a page by its host's wrapper: one line a block."""
+    kept, _ = placed(page, wrapper and wrapper.frame)
+    if wrapper:
+        slots = [text for text, slot, menus in kept if wrapper.menus.isdisjoint(menus) and (not wrapper.fixed or _hash(slot, text) not in wrapper.fixed)]
+    else:
+        slots = []
+    return "\n".join(slots or [text for text, _, _ in kept])
 
 
 def _inducer() -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def of_host(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "wrapper": [pickle.dumps(induce(pages.sort_values("place")["html"].tolist()))]})
+        return pd.DataFrame({"host": [key[0]], "frame": [pickle.dumps(induce(pages.sort_values("place")["html"].tolist()))]})
 
     return of_host
 
@@ -332,42 +338,89 @@ def host_of(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"://([^/?#]*)", 1))
 
 
-def wrappers(pages: DataFrame, per_host: int = PAGES) -> DataFrame:
-    """host, wrapper of pages (url, html), from at most ``per_host`` pages of each host."""
-    # The rank limit is applied in each task before the shuffle, so a host of any size sends a few pages.
-    rank = F.row_number().over(W.partitionBy("host").orderBy("place", "url"))
-    few = pages.select(host_of().alias("host"), "url", "html", F.xxhash64("url", F.length("html")).alias("place")).withColumn("rank", rank).where(F.col("rank") <= per_host)
-    return few.select("host", "place", "html").groupBy("host").applyInPandas(_inducer(), "host string, wrapper binary")
+def frames(pages: DataFrame, per_host: int = PAGES) -> DataFrame:
+    """host, frame of pages (host, place, html), from at most ``per_host`` distinct pages of each host."""
+    # Only hashes of pages are shuffled to choose, and copies of a page are combined on the map side.
+    rank = F.row_number().over(W.partitionBy("host").orderBy("place"))
+    few = pages.select("host", "place").distinct().withColumn("rank", rank).where(F.col("rank") <= per_host).select("host", "place")
+    chosen = pages.select("host", "place", "html").join(small(written(few, "places")), ["host", "place"])
+    return chosen.groupBy("host", "place").agg(F.first("html").alias("html")).groupBy("host").applyInPandas(_inducer(), "host string, frame binary")
+
+
+def _known(shipped: object | None, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[Wrapper]]]:
+    """Batches, and the wrapper of each row."""
+    known: dict[str, Wrapper] = {}
+    for batch in batches:
+        out = []
+        for i, host in enumerate(batch["host"]):
+            if host not in known:
+                if len(known) > 10_000:
+                    known.clear()
+                frame, fixed, menus = shipped.value[host] if shipped is not None else [batch[c].iloc[i] for c in ("frame", "fixed", "menus")]
+                known[host] = Wrapper(pickle.loads(frame), fixed, menus)
+            out.append(known[host])
+        yield batch, out
+
+
+def _gatherer(shipped: object | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["host", "slot", "text", "place", "size", "linked"]
+        for batch, wrappers in _known(shipped, batches):
+            rows = []
+            for host, place, page, wrapper in zip(batch["host"], batch["place"], batch["html"], wrappers, strict=True):
+                kept, sizes = placed(page, wrapper.frame)
+                rows += [(host, slot, 0, place, *sizes.get(slot, (0, 0))) for slot in sizes.keys() | {slot for _, slot, _ in kept}]
+                rows += [(host, slot, _hash(slot, text), place, 0, 0) for text, slot in {(text, slot) for text, slot, _ in kept}]
+                if len(rows) > 50_000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=names)
+
+    return gathered
 
 
 def _extractor(shipped: object | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, Slot] = {}
-        for batch in batches:
-            out = []
-            for i, (host, page) in enumerate(zip(batch["host"], batch["html"], strict=True)):
-                if host not in known:
-                    if len(known) > 10_000:
-                        known.clear()
-                    data = shipped.value.get(host) if shipped is not None else batch["wrapper"].iloc[i]
-                    known[host] = pickle.loads(data) if data is not None else None
-                out.append(extract(page, known[host]))
+        for batch, wrappers in _known(shipped, batches):
+            out = [extract(page, wrapper) for page, wrapper in zip(batch["html"], wrappers, strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": out, "n_chars": [len(t) for t in out]})
 
     return texts
 
 
+def _ship(pages: DataFrame, wrappers: DataFrame) -> tuple[object | None, DataFrame]:
+    """Wrappers (host, frame, fixed, menus) as a broadcast if they are small, else joined to the pages."""
+    size = F.length("frame") + F.length("host") + 8 * (F.size("fixed") + F.size("menus"))
+    if wrappers.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] > BROADCAST_BYTES:
+        return None, pages.join(wrappers, "host")
+    found = {r.host: (bytes(r.frame), list(r.fixed), list(r.menus)) for r in wrappers.toLocalIterator()}
+    return pages.sparkSession.sparkContext.broadcast(found), pages
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, frame, fixed, menus of pages (host, place, html): frames, and what all distinct pages have in their slots."""
+    none = F.array().cast("array<long>")
+    framed = written(frames(pages), "frames")
+    shipped, hosted = _ship(pages, framed.select("host", "frame", none.alias("fixed"), none.alias("menus")))
+    found = hosted.mapInPandas(_gatherer(shipped), "host string, slot long, text long, place long, size long, linked long")
+    each = found.groupBy("host", "slot", "text", "place").agg(F.max("size").alias("size"), F.max("linked").alias("linked"))
+    counts = each.groupBy("host", "slot", "text").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("linked").alias("linked"))
+    menu = (F.col("text") == 0) & (F.col("linked") > 0.6 * F.col("size"))
+    counts = written(counts.where(menu | (F.col("n") >= SUPPORT)), "counts")
+    whole = small(counts.where(F.col("text") == 0).select("host", "slot", F.col("n").alias("pages")))
+    fixed = counts.where(F.col("text") != 0).join(whole, ["host", "slot"]).where(10 * F.col("n") >= 9 * F.col("pages"))
+    marks = fixed.select("host", F.col("text").alias("fixed"), F.lit(None).cast("long").alias("menu")).unionByName(
+        counts.where(menu).select("host", F.lit(None).cast("long").alias("fixed"), F.col("slot").alias("menu"))
+    )
+    marks = marks.groupBy("host").agg(F.collect_set("fixed").alias("fixed"), F.collect_set("menu").alias("menus"))
+    return framed.join(marks, "host", "left").select("host", "frame", F.coalesce("fixed", none).alias("fixed"), F.coalesce("menus", none).alias("menus"))
+
+
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page (page_id, url, html)."""
-    spark = pages.sparkSession
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    induced = written(wrappers(pages), "wrappers")
-    total = induced.agg(F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0))).first()[0]
-    hosted = pages.withColumn("host", host_of())
-    if total <= BROADCAST_BYTES:
-        shipped = spark.sparkContext.broadcast({r.host: bytes(r.wrapper) for r in induced.toLocalIterator()})
-    else:
-        shipped, hosted = None, hosted.join(induced, "host", "left")
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"), F.xxhash64("html").alias("place"))
+    shipped, hosted = _ship(pages, written(wrappers(pages), "wrappers"))
     return hosted.mapInPandas(_extractor(shipped), "page_id long, url string, text string, n_chars long")
 
 

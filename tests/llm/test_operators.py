@@ -253,6 +253,18 @@ def test_main_text(spark, sf):
     assert (got[100].text, got[101].text, got[102].text) == ("", "", "plain text")
 
 
+def test_templates_are_taken_from_all_pages(spark):
+    """Headlines that are equal on some pages only, whichever these are, stay; a template goes where it stands, and not where another text does."""
+    page = "<article><h1>{}</h1><p>body {}<div>{}</div></article>"
+    rows = [(i, f"http://h.example.com/{i}", page.format("Same" if i < 30 else f"Own {i}", i, "Other" if i == 39 else "Share this")) for i in range(40)]
+    rows += [rows[0]] * 40  # copies are one page
+    rows += [(100 + i, f"http://i.example.com/{i}", page.format("Same", i, f"by {i}") if i else page.format("Own", i, "by me")) for i in range(9)]
+    for order in (rows, [(i, f"{u}?{i * 7919 % 101}", h) for i, u, h in rows]):
+        got = {r.page_id: r.text for r in wrapper.main_text(spark.createDataFrame(order, "page_id long, url string, html string").repartition(3)).collect()}
+        assert all(got[i] == f"{'Same' if i < 30 else f'Own {i}'}\nbody {i}" + ("\nOther" if i == 39 else "") for i in range(40))
+        assert got[100] == "Own\nbody 0\nby me" and all(got[100 + i] == f"Same\nbody {i}\nby {i}" for i in range(1, 9))
+
+
 def test_parsing_of_broken_markup():
     assert wrapper.extract("<p>a<p>b <b>c<p>d</b> e</div>&lt;&#233;&nbsp;f", None) == "a\nb c\nd e<é f"
     assert wrapper.extract("<article>x<!-- <p>no --><br>y<script>z</article>", None) == "x y"
