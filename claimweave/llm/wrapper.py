@@ -18,7 +18,7 @@ Pages per host that make the frame are bounded, and the counts are added up on t
 text, so the largest host is no large group; wrappers are broadcast only if they are counted and small,
 else joined.
 
-Cases: null or empty html gives an empty text; broken or truncated markup is closed as a browser
+Cases: null or empty html gives an empty text; elements may be nested to any depth; broken or truncated markup is closed as a browser
 would (unclosed elements end with their parent); a null url is a host of its own; html without
 elements is text; repeated pages each get a row; other columns are not read.
 """
@@ -29,7 +29,8 @@ import html as entities
 import pickle
 import re
 from hashlib import blake2b
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter
+from collections.abc import Callable, Generator, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,8 +43,6 @@ from claimweave.llm.common import small, table, written
 PAGES, SUPPORT = 8, 5
 #: Most bytes and rows of all wrappers together that are broadcast.
 BROADCAST_BYTES = 32 << 20
-#: Nodes deeper than this are taken as children of the node at this depth.
-DEEPEST = 64
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -84,6 +83,7 @@ def parse(page: str | None) -> Node:
     """DOM tree of a page; never fails."""
     root = Node("#page")
     stack, at, page = [root], 0, page or ""
+    opened = Counter()  # open elements by name: end tags of others cost nothing
     end = len(page)
     while at < end:
         tag = _TAG.search(page, at)
@@ -96,15 +96,12 @@ def parse(page: str | None) -> Node:
             continue
         name = tag[2].lower()
         if tag[1]:  # end tag: up to the element it closes, if it is open
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name == name:
-                    del stack[i:]
-                    break
+            _close(stack, opened, {name}, frozenset())
             continue
         if name in CLOSES_P:
-            _close(stack, {"p"}, MAIN | {"div", "section", "td", "th", "button", "object", "#page"})
+            _close(stack, opened, {"p"}, MAIN | {"div", "section", "td", "th", "button", "object", "#page"})
         if name in SIBLINGS:
-            _close(stack, SIBLINGS[name], SCOPES[name] | {"#page"})
+            _close(stack, opened, SIBLINGS[name], SCOPES[name] | {"#page"})
         mark = " ".join(a or b or c for a, b, c in _MARK.findall(tag[3])).lower() if tag[3] and _MARKED.search(tag[3]) else ""
         node = Node(name, mark)
         stack[-1].children.append(node)
@@ -112,17 +109,21 @@ def parse(page: str | None) -> Node:
             stop = re.compile(f"</{re.escape(name)}[^>]*(?:>|$)", re.I).search(page, at)
             node.children.append(page[at : stop.start() if stop else end])
             at = stop.end() if stop else end
-        elif name not in VOID and not tag[3].endswith("/") and len(stack) < DEEPEST:
+        elif name not in VOID and not tag[3].endswith("/"):
             stack.append(node)
+            opened[name] += 1
     if at < end:
         stack[-1].children.append(page[at:])
     return root
 
 
-def _close(stack: list[Node], names: set[str], scope: set[str]) -> None:
+def _close(stack: list[Node], opened: Counter, names: set[str], scope: frozenset[str] | set[str]) -> None:
     """End the nearest open element of one of these names within its scope, and what is open in it."""
+    if not any(opened[n] for n in names):
+        return
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].name in names:
+            opened.subtract(n.name for n in stack[i:])
             del stack[i:]
             return
         if stack[i].name in scope:
@@ -137,26 +138,24 @@ def marked(node: Node) -> bool:
 def blocks(node: Node) -> list[list]:
     """A block element's own flow: runs of inline content (lists of texts) and the block elements between them."""
     out: list = []
-    run: list[str] = []
-
-    def walk(children: list, links: bool) -> None:
-        nonlocal run
-        for child in children:
-            if isinstance(child, str):
-                run.append((child, links))
-            elif child.name in BLOCKS or child.name in DROPPED or child.name in RAW:
-                if run:
-                    out.append(run)
-                    run = []
-                out.append(child)
-            elif child.name == "br" or child.name == "img":
-                run.append((" ", links))
-            elif marked(child):
-                continue
-            else:
-                walk(child.children, links or child.name == "a")
-
-    walk(node.children, node.name == "a")
+    run: list[tuple[str, bool]] = []
+    open_ = [(iter(node.children), node.name == "a")]
+    while open_:
+        children, links = open_[-1]
+        child = next(children, None)
+        if child is None:
+            open_.pop()
+        elif isinstance(child, str):
+            run.append((child, links))
+        elif child.name in BLOCKS or child.name in DROPPED or child.name in RAW:
+            if run:
+                out.append(run)
+                run = []
+            out.append(child)
+        elif child.name == "br" or child.name == "img":
+            run.append((" ", links))
+        elif not marked(child):
+            open_.append((iter(child.children), links or child.name == "a"))
     if run:
         out.append(run)
     return out
@@ -181,7 +180,7 @@ class Wrapper:
 
     __slots__ = ("fixed", "frame", "menus")
 
-    def __init__(self, frame: Slot, fixed: Iterable[int] = (), menus: Iterable[int] = ()) -> None:
+    def __init__(self, frame: Slot | None, fixed: Iterable[int] = (), menus: Iterable[int] = ()) -> None:
         self.frame, self.fixed, self.menus = frame, frozenset(fixed), frozenset(menus)
 
 
@@ -197,17 +196,27 @@ class Tree:
         if node is None:
             return
         self.skip = marked(node)
-        if node.name in RAW:
-            return
-        for part in blocks(node):
+
+
+def grown(top: Node) -> Tree:
+    """The tree of an element and all that is in it."""
+    trees = [(Tree(top), top)]
+    for tree, node in trees:  # grows; parents come before their children
+        for part in blocks(node) if node.name not in RAW else ():
             child = Tree(part) if isinstance(part, Node) else Tree(None, part)
             if child.run is not None and not child.text:
                 continue
-            self.size, self.linked = self.size + child.size, self.linked + child.linked
-            if self.groups and self.groups[-1][0] == child.key:
-                self.groups[-1][1].append(child)
+            if child.run is None:
+                trees.append((child, part))
+            if tree.groups and tree.groups[-1][0] == child.key:
+                tree.groups[-1][1].append(child)
             else:
-                self.groups.append((child.key, [child]))
+                tree.groups.append((child.key, [child]))
+    for tree, _ in reversed(trees):
+        for _, like in tree.groups:
+            tree.size += sum([t.size for t in like])
+            tree.linked += sum([t.linked for t in like])
+    return trees[0][0]
 
 
 def _shape(mark: str) -> str:
@@ -215,13 +224,38 @@ def _shape(mark: str) -> str:
     return re.sub(r"\d+", "0", mark)
 
 
-def _weight(slot: Slot, trees: list[Tree]) -> int:
-    """Size of the simple tree matching between a wrapper node and the first of like siblings."""
-    return 1 + sum(_weight(slot.children[i], trees[0].groups[j][1]) for i, j in match(slot.children, trees[0].groups))
+def _run(call: Generator) -> object:
+    """The result of a generator that yields the calls it makes: recursion to any depth."""
+    calls, value = [call], None
+    while calls:
+        try:
+            deeper = calls[-1].send(value)
+        except StopIteration as done:
+            calls.pop()
+            value = done.value
+        else:
+            calls.append(deeper)
+            value = None
+    return value
+
+
+def _weight(slot: Slot, tree: Tree, known: dict[tuple[int, int], int]) -> Generator:
+    """Size of the simple tree matching between a frame's node and an element."""
+    at = id(slot), id(tree)
+    if at not in known:
+        total = 1
+        for i, j in (yield _match(slot.children, tree.groups, known)):
+            total += yield _weight(slot.children[i], tree.groups[j][1][0], known)
+        known[at] = total
+    return known[at]
+
+
+def match(slots: list[Slot], groups: list[tuple], known: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+    """Pairs of the heaviest order-keeping matching of equal keys; ``known`` keeps weights of one page."""
+    return _run(_match(slots, groups, known))
 
 
-def match(slots: list[Slot], groups: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs of the heaviest order-keeping matching of equal keys."""
+def _match(slots: list[Slot], groups: list[tuple], known: dict[tuple[int, int], int]) -> Generator:
     if [s.key for s in slots] == [g[0] for g in groups]:
         return [(i, i) for i in range(len(slots))]
     n, m = len(slots), len(groups)
@@ -231,7 +265,7 @@ def match(slots: list[Slot], groups: list[tuple]) -> list[tuple[int, int]]:
         for j in range(m - 1, -1, -1):
             best[i][j] = max(best[i + 1][j], best[i][j + 1])
             if slots[i].key == groups[j][0]:
-                own[i, j] = _weight(slots[i], groups[j][1])
+                own[i, j] = yield _weight(slots[i], groups[j][1][0], known)  # the first of like siblings
                 best[i][j] = max(best[i][j], own[i, j] + best[i + 1][j + 1])
     out, i, j = [], 0, 0
     while i < n and j < m:
@@ -245,10 +279,11 @@ def match(slots: list[Slot], groups: list[tuple]) -> list[tuple[int, int]]:
     return out
 
 
-def learn(slot: Slot, trees: list[Tree]) -> None:
+def _learn(slot: Slot, trees: list[Tree], known: dict[tuple[int, int], int]) -> Generator:
     """Align like siblings of one page with a frame's node, and widen it by what it lacks."""
     for tree in trees:
-        at = {j: slot.children[i] for i, j in match(slot.children, tree.groups)}
+        pairs = yield _match(slot.children, tree.groups, known)
+        at = {j: slot.children[i] for i, j in pairs}
         where = 0
         for j, (key, like) in enumerate(tree.groups):
             if j in at:
@@ -258,19 +293,43 @@ def learn(slot: Slot, trees: list[Tree]) -> None:
                 child = Slot(key)
                 slot.children.insert(where, child)
                 where += 1
-            learn(child, like)
+            yield _learn(child, like, known)
 
 
 def induce(pages: list[str | None]) -> Slot:
     """The frame of pages of one host."""
     root = Slot(("#page", ""))
     for page in pages:
-        learn(root, [Tree(parse(page))])
+        _run(_learn(root, [grown(parse(page))], {}))
     return root
 
 
-def _has_main(tree: Tree) -> bool:
-    return any(key[0] in MAIN or _has_main(t) for key, like in tree.groups if not like[0].skip for t in like)
+def packed(frame: Slot) -> bytes:
+    """A frame as bytes: the key and the parent's number of each node."""
+    nodes, rows = [frame], [(0, frame.key)]
+    for at, node in enumerate(nodes):  # grows
+        nodes += node.children
+        rows += [(at, child.key) for child in node.children]
+    return pickle.dumps(rows)
+
+
+def unpacked(data: bytes) -> Slot:
+    rows = pickle.loads(data)
+    nodes = [Slot(key) for _, key in rows]
+    for (parent, _), node in zip(rows[1:], nodes[1:], strict=True):
+        nodes[parent].children.append(node)
+    return nodes[0]
+
+
+def _has_main(top: Tree) -> bool:
+    todo = [top]
+    while todo:
+        for key, like in todo.pop().groups:
+            if not like[0].skip:
+                if key[0] in MAIN:
+                    return True
+                todo += like
+    return False
 
 
 def _hash(*parts: object) -> int:
@@ -278,24 +337,27 @@ def _hash(*parts: object) -> int:
     return int.from_bytes(blake2b(repr(parts).encode("utf-8", "backslashreplace"), digest_size=8).digest(), "little", signed=True) or 1
 
 
-def placed(page: str | None, frame: Slot | None) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int, list[int]]]:
-    """The texts of a page outside marked boilerplate, each with its slot and the repeated nodes that it
-    lies in; and size and linked size of the nodes that may be repeated, by slot."""
-    top = Tree(parse(page))
+def placed(page: str | None, frame: Slot | None, links: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool]], dict[int, list[int]]]:
+    """The texts of a page outside marked boilerplate, each with its slot and whether it lies in repeated nodes
+    that ``links`` names; and size and linked size of the nodes that may be repeated, by slot."""
+    top = grown(parse(page))
     only_main = _has_main(top)
-    kept: list[tuple[str, int, tuple[int, ...]]] = []
+    kept: list[tuple[str, int, bool]] = []
     sizes: dict[int, list[int]] = {}
-
-    def walk(tree: Tree, slot: Slot | None, name: int, inside: bool, menus: tuple[int, ...]) -> None:
+    known: dict[tuple[int, int], int] = {}
+    todo = [(top, frame, 0, not only_main, False)]
+    while todo:
+        tree, slot, name, inside, menu = todo.pop()
         if tree.skip:
-            return
+            continue
         if tree.run is not None:
             if inside:
-                kept.append((tree.text, name, menus))
-            return
+                kept.append((tree.text, name, menu))
+            continue
         inside = inside or tree.key[0] in MAIN
-        pairs = {j: i for i, j in match(slot.children, tree.groups)} if slot else {}
+        pairs = {j: i for i, j in match(slot.children, tree.groups, known)} if slot else {}
         seen: dict[tuple[str, str], int] = {}
+        below = []
         for j, (key, like) in enumerate(tree.groups):
             i = pairs.get(j)
             if i is None:  # not in the frame: a slot by its path
@@ -303,33 +365,28 @@ def placed(page: str | None, frame: Slot | None) -> tuple[list[tuple[str, int, t
                 child, own = None, _hash(name, key, seen[key])
             else:
                 child, own = slot.children[i], _hash(name, i)
-            within = menus
+            within = menu
             if key[0] in ("li", "td", "div"):
                 total = sizes.setdefault(own, [0, 0])
                 total[0] += sum([t.size for t in like])
                 total[1] += sum([t.linked for t in like])
-                if len(like) > 1:
-                    within = (*menus, own)
-            for t in like:
-                walk(t, child, own, inside, within)
-
-    walk(top, frame, 0, not only_main, ())
+                within = menu or len(like) > 1 and own in links
+            below += [(t, child, own, inside, within) for t in like]
+        todo += reversed(below)
     return kept, sizes
 
 
 def extract(page: str | None, wrapper: Wrapper | None) -> str:
     """Main text of a page by its host's wrapper: one line a block."""
-    kept, _ = placed(page, wrapper and wrapper.frame)
-    if wrapper:
-        slots = [text for text, slot, menus in kept if wrapper.menus.isdisjoint(menus) and (not wrapper.fixed or _hash(slot, text) not in wrapper.fixed)]
-    else:
-        slots = []
+    wrapper = wrapper or Wrapper(None)
+    kept, _ = placed(page, wrapper.frame, wrapper.menus)
+    slots = [text for text, slot, menu in kept if not menu and (not wrapper.fixed or _hash(slot, text) not in wrapper.fixed)]
     return "\n".join(slots or [text for text, _, _ in kept])
 
 
 def _inducer() -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def of_host(key: tuple, pages: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": [key[0]], "frame": [pickle.dumps(induce(pages.sort_values("place")["html"].tolist()))]})
+        return pd.DataFrame({"host": [key[0]], "frame": [packed(induce(pages.sort_values("place")["html"].tolist()))]})
 
     return of_host
 
@@ -357,7 +414,7 @@ def _known(shipped: object | None, batches: Iterator[pd.DataFrame]) -> Iterator[
                 if len(known) > 10_000:
                     known.clear()
                 frame, fixed, menus = shipped.value[host] if shipped is not None else [batch[c].iloc[i] for c in ("frame", "fixed", "menus")]
-                known[host] = Wrapper(pickle.loads(frame), fixed, menus)
+                known[host] = Wrapper(unpacked(frame), fixed, menus)
             out.append(known[host])
         yield batch, out
 

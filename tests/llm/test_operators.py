@@ -271,6 +271,18 @@ def test_parsing_of_broken_markup():
     assert wrapper.extract("<ul><li>one<li>two</ul><form>q</form><aside>r</aside>", None) == "one\ntwo"
 
 
+def test_elements_at_any_depth():
+    deep = "<div><article>" + "<div>" * 70 + "in" + "</div>" * 70 + "<p>after</article><p>out</div>"
+    assert wrapper.extract(deep, None) == "in\nafter"
+    open_ = "<article><p>a" + "<font>" * 62 + "b</p>" + "<span>" * 62 + "<nav>menu</nav><form>form</form><footer>foot</footer><div class=ad>ad</div><p>c</article>"
+    assert wrapper.extract(open_, None) == "ab\nc"
+    for name in ("div", "font", "b"):
+        for closed in ("", f"</{name}>" * 30_000):
+            pages = [f"<article><h1>H{i}</h1>" + f"<{name}>" * 30_000 + f"text {i}" + closed + "</i>" * 30_000 + ("<p>end" if i else "<ul><li>end</ul>") for i in range(2)]
+            frame = wrapper.unpacked(wrapper.packed(wrapper.induce(pages)))
+            assert [wrapper.extract(p, wrapper.Wrapper(frame)).split() for p in pages] == [[f"H{i}", "text", str(i), "end"] for i in range(2)]
+
+
 def test_archive_round_trip(spark, sf):
     pages = data.pages()
     first = {}
