@@ -9,7 +9,9 @@ at most ``EVIDENCE`` words' worth of evidence.
 
 The model is fitted on a bounded sample: about ``PER_LANGUAGE`` labelled documents of each language,
 chosen by a hash of the id, of which the most frequent ``GRAMS`` words and n-grams of each length
-are kept (fewer if there are many languages). Counts are added up on the executors.
+are kept, words and longer n-grams if they occur twice. What a language keeps depends on its own
+documents alone, so the model grows with the number of languages, by at most 6 ``GRAMS`` entries
+each; only what a language has is stored. Counts are added up on the executors.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0, as is every text if there is
 nothing to learn from; rows without lang or text are not learned from; texts are scored whole.
@@ -31,9 +33,11 @@ from claimweave.llm.common import fold, share, small, small_batches, table
 
 #: Bound of the training sample, in documents of each language (as expected by the hash).
 PER_LANGUAGE = 2500
-#: Most words, and n-grams of each length, that a language keeps; and most entries of the model.
-GRAMS, ENTRIES = 20_000, 400_000
+#: Most words, and n-grams of each length, that a language keeps.
+GRAMS = 20_000
 LONGEST = 5
+#: Numbers that a worker keeps of words seen (a cache).
+ROOM = 16_000_000
 #: log10 frequency of what a language does not have; words that count as evidence.
 PENALTY, EVIDENCE = -7.0, 20
 UNKNOWN = "und"
@@ -72,22 +76,41 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     counted = counted.withColumn("total", F.sum("c").over(W.partitionBy("lang", "n")))
     best = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).where(F.col("rank") <= GRAMS)
     languages = sorted(r[0] for r in sizes.select("lang").collect())
-    most = max(100, min(GRAMS, ENTRIES // max(1, len(languages) * (LONGEST + 1))))
-    rows = best.where((F.col("rank") <= most) & ((F.col("c") > 1) | (F.col("n") < 3) & (F.col("n") > 0))).select("lang", "n", "gram", F.log10(F.col("c") / F.col("total")).alias("score")).toPandas()
+    rows = best.where((F.col("c") > 1) | (F.col("n") < 3) & (F.col("n") > 0)).select("lang", "n", "gram", F.log10(F.col("c") / F.col("total")).alias("score")).toPandas()
     place = {lang: i for i, lang in enumerate(languages)}
     kinds: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]  # rows of one table: small in every worker
     at = np.array([kinds[n].setdefault(gram, sum(map(len, kinds))) for n, gram in zip(rows["n"], rows["gram"], strict=True)], dtype=np.int64)
-    scores = np.full((sum(map(len, kinds)), len(languages)), PENALTY, dtype=np.float32)
-    scores[at, rows["lang"].map(place).to_numpy(dtype=np.int64)] = rows["score"].to_numpy(dtype=np.float32)
-    return {"languages": languages, "kinds": kinds, "scores": scores}
+    found = Sparse(at, rows["lang"].map(place).to_numpy(dtype=np.int32), rows["score"].to_numpy(dtype=np.float32), sum(map(len, kinds)), len(languages))
+    return {"languages": languages, "kinds": kinds, "scores": found[:] if found.full() else found}
+
+
+class Sparse:
+    """A table that holds only what differs from ``PENALTY``; indexed by row or rows."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, value: np.ndarray, height: int, width: int) -> None:
+        order = np.argsort(row, kind="stable")
+        self.starts, self.column, self.value, self.width = np.searchsorted(row[order], np.arange(height + 1)), column[order], value[order], width
+
+    def full(self) -> bool:
+        """A plain array takes no more than twice the room."""
+        return (len(self.starts) - 1) * self.width <= 4 * len(self.value)
+
+    def __getitem__(self, rows: int | list[int] | slice) -> np.ndarray:
+        every = np.arange(len(self.starts) - 1)[rows] if isinstance(rows, slice) else np.asarray(rows)
+        out = np.full((*every.shape, self.width), PENALTY, dtype=np.float32)
+        for to, at in zip(out.reshape(every.size, self.width), every.flat if every.ndim else [every], strict=True):
+            own = slice(self.starts[at], self.starts[at + 1])
+            to[self.column[own]] = self.value[own]
+        return out
 
 
 class Scorer(dict):
     """Words seen so far, by their row in ``rows``; bounded, as it is emptied when full."""
 
     def __init__(self, model: dict, room: int = 100_000) -> None:
+        """room: most words kept, fewer if there are very many languages; what is not kept is scored again."""
         super().__init__()
-        self.languages, self.kinds, self.scores, self.room = model["languages"], model["kinds"], model["scores"], room
+        self.languages, self.kinds, self.scores, self.room = model["languages"], model["kinds"], model["scores"], min(room, ROOM // max(1, len(model["languages"])))
         self.rows = np.zeros((1024, len(self.languages)), dtype=np.float32)
 
     def vector(self, word: str) -> np.ndarray:

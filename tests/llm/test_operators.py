@@ -119,6 +119,19 @@ def test_unseen_words_back_off():
     assert scorer.predict("known")[0] == "a" and scorer.predict("xzqx")[0] == "b" and scorer.predict("- 1 ")[0] == "und"
 
 
+def test_other_languages_take_nothing_from_a_language(spark):
+    words = [a + b + c for a in "bdfgklmn" for b in "aeiou" for c in "prstvxz"]
+    docs = [(i, "en", " ".join(words)) for i in range(3)]
+    junk = [(100 + i, f"q{i:03}", f"junk{i}") for i in range(700)]
+    kind = "doc_id long, lang string, text string"
+    alone, beside = (language_id.train(spark.createDataFrame(d, kind)) for d in (docs, docs + junk))
+    for model in (alone, beside):
+        scorer, en = language_id.Scorer(model), model["languages"].index("en")
+        assert [scorer.vector(w)[en] for w in words] == pytest.approx([np.log10(1 / len(words))] * len(words), rel=1e-6)
+        assert scorer.predict(" ".join(words)) == ("en", pytest.approx(1)) and scorer.vector("bapxbap")[en] > language_id.PENALTY
+    assert language_id.Scorer(beside).predict("junk") != ("und", 0.0) and [len(m["languages"]) for m in (alone, beside)] == [1, 701]
+
+
 def sets_of(text, size):
     w = (text or "").encode().lower().split()
     return frozenset(b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))) if w else frozenset()
