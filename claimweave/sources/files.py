@@ -51,7 +51,10 @@ WHEN = r"(?:[A-Za-z]{3,9}\.?\s+)?\d{4}|\d{1,2}[/-]\d{4}"
 RANGE = rf"(?i)^(.*?)({WHEN})\s*(?:-|\x{{2013}}|\x{{2014}}|to)\s*({WHEN}|present|current)"
 DEGREE = r"(?i)\b(b\.?s\.?|b\.?a\.?|bachelor|m\.?s\.?|m\.?a\.?|master|mba|ph\.?d\.?|doctorate)\b"
 SCHOOL = r"[A-Z][\w.&'\- ]*(?:University|College|Institute|School)"
-COLUMNS = 64
+# A CSV cell: quoted (to the end if its quote is never closed) or not; a record of them. No step goes back or recurs.
+CELL = r'(?>"[^"]*+(?:""[^"]*+)*+(?:"[^,\r\n]*+|\z)|[^,\r\n]*+)'
+RECORD = rf"((?:{CELL},)*+{CELL})(?:\r\n|\r|\n|\z)"
+QUOTED = r'(?s)^"([^"]*+(?:""[^"]*+)*+)"?(.*)$'
 
 
 def discover(spark: SparkSession, inputs: list[str]) -> DataFrame:
@@ -113,20 +116,22 @@ def _blank(x: Column) -> Column:
 
 
 def csv(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """First data row of each file (entity_key, file_seq, file, text); company and title are one experience."""
+    """First data row of each file (entity_key, file_seq, file, text), of any number of cells; company and title are one
+    experience. A line break inside quotes does not end a row and is dropped."""
     body = F.regexp_replace("text", "^﻿", "")
-    rows = files.withColumn("lines", F.filter(F.split(body, r"\r\n|\r|\n"), lambda x: x != ""))
-    cells = ", ".join(f"c{i} string" for i in range(COLUMNS))
-    parsed = lambda line: text.let(F.from_csv(line, F.lit(cells), {"mode": "PERMISSIVE"}), lambda r: F.array(*(r[f"c{i}"] for i in range(COLUMNS))))
+    rows = files.withColumn("lines", F.filter(F.regexp_extract_all(body, F.lit(RECORD), F.lit(1)), lambda x: x != ""))
+    plain_of = lambda x: F.concat(F.replace(F.regexp_extract(x, QUOTED, 1), F.lit('""'), F.lit('"')), F.regexp_extract(x, QUOTED, 2))
+    value = lambda x: F.when(x.startswith('"'), F.regexp_replace(plain_of(x), r"[\r\n]", "")).otherwise(x)
+    parsed = lambda line: F.transform(F.regexp_extract_all(line, F.lit(rf"({CELL})(?:,|\z)"), F.lit(1)), value)
     head, row = parsed(F.get("lines", F.lit(0))), parsed(F.get("lines", F.lit(1)))
-    cell = rows.where(F.size("lines") > 1).select("entity_key", "file_seq", F.posexplode(F.arrays_zip(head.alias("h"), row.alias("r"))).alias("at", "cell"))
-    cell = cell.select("entity_key", "file_seq", "at", text.mapped(CSV_HEADERS, F.lower(text.strip(F.col("cell.h")))).alias("path"), text.strip(F.col("cell.r")).alias("v")).where("path is not null and v <> ''")
+    cell = rows.where(F.size("lines") > 1).select("entity_key", "file_seq", F.size(head).alias("cells"), F.posexplode(F.arrays_zip(head.alias("h"), row.alias("r"))).alias("at", "cell"))
+    cell = cell.select("entity_key", "file_seq", "cells", "at", text.mapped(CSV_HEADERS, F.lower(text.strip(F.col("cell.h")))).alias("path"), text.strip(F.col("cell.r")).alias("v")).where("path is not null and v <> ''")
     plain = _claims(cell.where("path not in ('company', 'title')"), F.col("at"), F.col("path"), F.col("v"), "recruiter_csv", "direct")
     last = lambda name: F.max_by(F.when(F.col("path") == name, F.col("v")), F.when(F.col("path") == name, F.col("at"))).alias(name)
-    job = cell.where("path in ('company', 'title')").groupBy("entity_key", "file_seq").agg(last("company"), last("title"))
+    job = cell.where("path in ('company', 'title')").groupBy("entity_key", "file_seq").agg(last("company"), last("title"), F.max("cells").alias("cells"))
     none = F.lit(None).cast("string")
     exp = F.struct("company", "title", none.alias("start"), none.alias("end"), none.alias("summary"))
-    claims = plain.unionByName(_claims(job, F.lit(COLUMNS), F.lit("experience"), None, "recruiter_csv", "direct", exp=exp))
+    claims = plain.unionByName(_claims(job, F.col("cells"), F.lit("experience"), None, "recruiter_csv", "direct", exp=exp))
     n = F.size("lines")
     what = F.when(_blank(F.col("text")), "empty file").when(n < 2, "header but no data rows in").when(n > 2, F.concat((n - 1).cast("string"), F.lit(" rows; using the first only in")))
     return claims, _warnings(rows.where(what.isNotNull()), "recruiter_csv", what)

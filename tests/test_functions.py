@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimweave import schema
 from claimweave.functions import places, scores, text
+from claimweave.sources import files
 
 
 def one(spark, column, *values, names="x"):
@@ -67,3 +68,27 @@ def test_round4_is_exact(spark):
 
 def test_trust_covers_every_source():
     assert set(schema.TRUST) == {"ats_json", "recruiter_csv", "resume", "github", "recruiter_notes"}
+
+
+def test_csv_of_any_width_and_quoting(spark):
+    wide = ",".join([f"x{i}" for i in range(68)] + ["Email", "Phone"]) + "\n" + "," * 68 + "a@b.co,+1 415 555 2671\n"
+    bodies = {
+        "wide": wide,
+        "break": 'x,"E-\r\nmail",name,Company\r\n"one\ntwo, 3",c@d.co,"Ann ""A"", B",Acme\r\n\r\n1,2,3,4\r\n',
+        "stray": 'name,email\n5" disk,e@f.co\n',
+        "open": 'email,name\ng@h.co,"never closed, at all\n',
+        "after": 'name,email\n"Jo"hn,i@j.co',
+        "long": "name,email\n\"" + '""x' * 20_000 + "\",k@l.co",
+    }
+    rows = [(k, 1, f"{k}.csv", v) for k, v in bodies.items()]
+    claims, warnings = files.csv(spark.createDataFrame(rows, "entity_key string, file_seq int, file string, text string"))
+    got = {(r.entity_key, r.path): r for r in claims.collect()}
+    expected = {
+        ("wide", "emails"): "a@b.co", ("wide", "phones"): "+1 415 555 2671", ("break", "emails"): "c@d.co", ("break", "full_name"): 'Ann "A", B', ("stray", "full_name"): '5" disk',
+        ("stray", "emails"): "e@f.co", ("open", "emails"): "g@h.co", ("open", "full_name"): "never closed, at all", ("after", "full_name"): "John", ("after", "emails"): "i@j.co",
+        ("long", "full_name"): '"x' * 20_000, ("long", "emails"): "k@l.co",
+    }
+    assert {k: r.v for k, r in got.items() if r.path != "experience"} == expected
+    job = got["break", "experience"]
+    assert job.exp.company == "Acme" and job.claim_seq > got["break", "full_name"].claim_seq
+    assert [(r.entity_key, r.warning) for r in warnings.collect()] == [("break", "recruiter_csv: 2 rows; using the first only in break.csv")]
