@@ -1,42 +1,50 @@
 """Operator 1: toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-The index holds labelled examples as TF-IDF vectors over a vocabulary of terms that are associated
-with the label (log-likelihood ratio on the training rows), plus one constant dimension, so that how
-much of such language a text holds counts, not only which. Equal vectors are one entry with their
-numbers of examples. Entries lie in blocks; per term each block has its largest weight. A text's
-upper bound for a block is the sum of these; blocks are scored exactly in falling order of bound
-until no bound exceeds the cosine of the k-th neighbour, so the neighbours are exact. They vote with
-weight 1 / (distance + ``SMOOTH``), and the vote is calibrated on the training rows with each one left out (Platt).
-
-The index is fitted on a bounded sample of at most about ``SAMPLE`` labelled rows, chosen by a hash
-of the id, and at most ``TERMS`` terms: that bounds what is broadcast.
-
-Cases: null and empty texts have only the constant dimension and are scored by the examples like
-them; without examples every score is 0; several labels of one id count by their largest; rows of
-labels with null are ignored; ties go to the entry of the smallest doc_id, examples of equal vectors
-vote together; repeated documents each get a row; texts are used whole.
+Labelled examples are TF-IDF vectors over every term of the examples: a term's weight is
+``(1 + log tf) * idf * relevance``. The relevance ``(r / (r + ASSOCIATED)) ** 2``, r being the term's
+log-likelihood ratio with the label on the training rows, lets the terms that go with the label count
+most; no term is left out (``relevance=False`` gives plain TF-IDF). Equal vectors are one entry with
+their numbers of examples. The inverted index has two tiers: postings of rare terms, which are added
+up outright, and per frequent term the largest weight in each block of entries. A text's bound for a
+block is the sum of its frequent terms' largest weights and the largest sum of the rare ones. The
+blocks of highest bound are scored exactly, then all blocks whose bound reaches the cosine of the k-th
+neighbour so far, so the neighbours are exact; others are skipped. They vote with weight
+``1 / (distance + SMOOTH)``, and the vote is calibrated on all training rows with each one left out
+(Platt). The nearest ids are the evidence.
+
+The index is fitted on a bounded sample of about ``SAMPLE`` labelled rows, chosen by a hash of the id:
+that bounds what is broadcast, whatever the number of documents. All documents are scored.
+
+Cases: only entries that share a term with a text are its neighbours; if they hold fewer than
+``NEIGHBOURS`` examples the rest of the votes are the share of label 1 at distance 1, so null and empty
+texts score by that share alone and have no evidence; without examples every score is 0; several
+labels of one id count by their largest; rows of labels with null are ignored; repeated rows of an
+example count once; ties (cosines equal to ``DIGITS`` decimals) go to the entry of the smallest
+doc_id, and examples of equal vectors vote together; repeated documents each get a row; texts are used
+whole; other columns are not read.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm.common import fold, share, small_batches, table, written
 
-#: Bounds of the training sample (labelled rows, as expected by the hash) and of the vocabulary.
-SAMPLE, TERMS = 20_000, 2048
-#: Least log-likelihood ratio of a term, and least examples that hold it.
-ASSOCIATED, LEAST = 30.0, 5
-NEIGHBOURS, SMOOTH, BLOCK = 25, 0.02, 64
-#: Weight of the constant dimension, as a multiple of the mean inverse document frequency.
-CONSTANT = 1.0
+#: Bound of the training sample (labelled rows, as expected by the hash).
+SAMPLE = 6000
+#: Log-likelihood ratio at which a term has a quarter of the full relevance.
+ASSOCIATED = 30.0
+NEIGHBOURS, SMOOTH, BLOCK, DIGITS = 25, 0.02, 64, 12
+#: Terms are frequent if one in so many entries holds them; blocks scored before the others are compared with the k-th cosine; texts scored together.
+FREQUENT, BEST, TOGETHER = 25, 3, 64
 EVIDENCE = 5
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -57,170 +65,222 @@ def _term_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"term": list(n), "n": list(n.values()), "t": [toxic[w] for w in n]})
 
 
-def vocabulary(sample: DataFrame) -> tuple[list[str], np.ndarray, int]:
-    """Associated terms, their inverse document frequencies, and the number of examples."""
-    rows, toxic = sample.agg(F.count("*"), F.sum(F.col("toxic").cast("long"))).first()
-    if not toxic or toxic == rows:
-        return [], np.zeros(0), rows
-    counted = sample.select("text", "toxic").mapInPandas(_term_counts, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-
-    def part(seen: Column, expected: Column) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
-
-    n, t, all_, tox = F.col("n"), F.col("t"), F.lit(float(rows)), F.lit(float(toxic))
-    ratio = 2 * (part(t, n * tox / all_) + part(n - t, n * (all_ - tox) / all_) + part(tox - t, (all_ - n) * tox / all_) + part(all_ - n - tox + t, (all_ - n) * (all_ - tox) / all_))
-    best = counted.where(n >= LEAST).withColumn("ratio", ratio).where(F.col("ratio") >= ASSOCIATED).orderBy(F.desc("ratio"), "term").limit(TERMS).toPandas().sort_values("term")
-    return best["term"].tolist(), np.log((1 + rows) / (1 + best["n"].to_numpy(dtype=float))) + 1, rows
-
-
-class Vectors:
-    """Texts as TF-IDF vectors: term numbers and weights of length 1; number 0 is the constant dimension."""
-
-    def __init__(self, vocabulary: list[str], idf: np.ndarray) -> None:
-        self.place = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.idf = np.concatenate([[CONSTANT * (idf.mean() if len(idf) else 1.0)], idf])
-
-    def key(self, text: str | None) -> tuple[tuple[int, int], ...]:
+def relevances(n: np.ndarray, t: np.ndarray, rows: int, toxic: int) -> np.ndarray:
+    """Relevance of terms that n of all rows hold, t of them of label 1."""
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
+
+    clean = rows - toxic
+    ratio = 2 * (part(t, n * toxic / rows) + part(n - t, n * clean / rows) + part(toxic - t, (rows - n) * toxic / rows) + part(clean - n + t, (rows - n) * clean / rows))
+    ratio = np.maximum(ratio, 0.0)
+    return (ratio / (ratio + ASSOCIATED)) ** 2
+
+
+def vocabulary(examples: DataFrame, relevance: bool = True) -> tuple[list[str], np.ndarray]:
+    """Every term of the examples (text, toxic), and what a single occurrence of it weighs."""
+    rows, toxic = examples.agg(F.count("*"), F.coalesce(F.sum(F.col("toxic").cast("long")), F.lit(0))).first()
+    counted = examples.select("text", "toxic").mapInPandas(_term_counts, "term string, n long, t long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    every = counted.toPandas().sort_values("term")  # bounded by the sample
+    n, t = every["n"].to_numpy(dtype=float), every["t"].to_numpy(dtype=float)
+    weight = np.log((1 + rows) / (1 + n)) + 1
+    if relevance and 0 < toxic < rows:
+        weight = weight * relevances(n, t, rows, toxic)
+    return every["term"].tolist(), weight
+
+
+#: A vector's terms, ascending, and their counts: two rows.
+Key = np.ndarray
+#: Keys, and for each the examples, those of label 1, and the smallest doc_id.
+Entries = tuple[list[Key], list[tuple[int, int, int]]]
+
+
+class Index:
+    """Block-max inverted index of examples as TF-IDF vectors, with exact cosine neighbours."""
+
+    def __init__(self, words: list[str], weight: np.ndarray, entries: Entries) -> None:
+        self.place = {w: i for i, w in enumerate(words)}
+        self.weight = weight
+        keys, counts = entries
+        every = np.array(counts, dtype=np.int64).reshape(-1, 3)
+        self.rate = float(every[:, 1].sum() / every[:, 0].sum()) if len(every) else 0.0
+        vectors = [self.vector(k) for k in keys]
+        # Entries of like heaviest terms meet in a block, which keeps its bounds tight; those without a weight have no neighbours.
+        order = [i for i, (at, _) in enumerate(vectors) if len(at)]
+        order.sort(key=lambda i: (vectors[i][0][np.argsort(-vectors[i][1], kind="stable")[:4]].tolist(), i))
+        self.keys = [keys[i] for i in order]
+        self.n, self.toxic, self.doc = every[order].T if order else np.zeros((3, 0), dtype=np.int64)
+        rows = [vectors[i] for i in order]
+        entry = np.repeat(np.arange(len(rows)), [len(at) for at, _ in rows])
+        at = np.concatenate([at for at, _ in rows]) if rows else np.zeros(0, dtype=np.int64)
+        of = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
+        holders = np.bincount(at, minlength=len(words))
+        common = np.flatnonzero(holders * FREQUENT > max(FREQUENT, len(rows)))
+        self.column = np.full(len(words), -1)
+        self.column[common] = np.arange(len(common))
+        self.starts = np.arange(0, len(rows), BLOCK)
+        often = self.column[at] >= 0
+        self.dense = np.zeros((len(rows), len(common)))
+        self.dense[entry[often], self.column[at[often]]] = of[often]
+        self.most = np.maximum.reduceat(self.dense, self.starts, axis=0) if rows else np.zeros((0, len(common)))
+        order = np.flatnonzero(~often)[np.argsort(at[~often], kind="stable")]
+        self.entry, self.of = entry[order], of[order]
+        self.posted = np.searchsorted(at[order], np.arange(len(words) + 1))
+
+    def key(self, text: str | None) -> Key:
         place = self.place
-        return tuple(sorted(Counter(at for w in terms(text) if (at := place.get(w))).items()))
-
-    def vector(self, key: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        at = np.array([0, *(k for k, _ in key)], dtype=np.int64)
-        weight = self.idf[at] * np.array([1.0, *(1 + np.log(c) for _, c in key)])
-        return at, weight / np.sqrt((weight**2).sum())
-
-
-class BlockMaxIndex:
-    """Exact cosine neighbours of a vector among entries in blocks."""
-
-    def __init__(self, vectors: Vectors, entries: dict[tuple, tuple[int, int, int]]) -> None:
-        """entries: by vector key the examples, the toxic ones, and the smallest doc_id."""
-        self.vectors = vectors
-        self.keys = keys = sorted(entries)  # alike entries meet in a block, which keeps its bounds tight
-        self.n, self.toxic, self.doc = (np.array([entries[k][i] for k in keys], dtype=np.int64) for i in range(3))
-        rows = [vectors.vector(k) for k in keys]
-        self.start = np.concatenate([[0], np.cumsum([len(at) for at, _ in rows])]).astype(np.int64)
-        self.at = np.concatenate([at for at, _ in rows]) if rows else np.zeros(0, dtype=np.int64)
-        self.weight = np.concatenate([w for _, w in rows]) if rows else np.zeros(0)
-        self.blocks = -(-len(keys) // BLOCK)
-        self.most = np.zeros((len(vectors.idf), self.blocks))
-        entry = np.repeat(np.arange(len(keys)), np.diff(self.start))
-        np.maximum.at(self.most, (self.at, entry // BLOCK), self.weight)
-
-    def neighbours(self, at: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and cosines, nearest first, until they hold k examples (all ties of whole entries included)."""
-        bound = weight @ self.most[at]
-        query = np.zeros(len(self.vectors.idf))
-        query[at] = weight
-        found, cosines = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if len(found):
-                order = np.lexsort((self.doc[found], -cosines))
-                found, cosines = found[order], cosines[order]
-                upto = np.searchsorted(np.cumsum(self.n[found]), k) + 1
-                if upto <= len(found):
-                    found, cosines = found[:upto], cosines[:upto]
-                    if bound[b] < cosines[-1] - 1e-9:
-                        break
-            first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.n))
-            lo, hi = self.start[first], self.start[last]
-            exact = np.add.reduceat(query[self.at[lo:hi]] * self.weight[lo:hi], self.start[first:last] - lo)
-            found, cosines = np.concatenate([found, np.arange(first, last)]), np.concatenate([cosines, exact])
-        order = np.lexsort((self.doc[found], -cosines))
-        found, cosines = found[order], np.minimum(cosines[order], 1.0)
-        upto = np.searchsorted(np.cumsum(self.n[found]), k) + 1
-        return found[:upto], cosines[:upto]
-
-    def vote(self, key: tuple, without: int | None = None, label: int = 0) -> tuple[float, np.ndarray, np.ndarray]:
-        """Share of toxic examples among the neighbours, weighted by nearness; ``without``: leave one example of that entry out."""
-        if not len(self.n):
-            return 0.0, np.zeros(0, dtype=np.int64), np.zeros(0)
-        found, cosines = self.neighbours(*self.vectors.vector(key), NEIGHBOURS + (without is not None))
-        n, toxic = self.n[found].astype(float), self.toxic[found].astype(float)
-        if without is not None:
-            own = found == without
-            n, toxic = n - own, toxic - own * label
-        rate = np.divide(toxic, n, out=np.zeros(len(n)), where=n > 0)
-        used = np.minimum(n, np.maximum(0, NEIGHBOURS - np.concatenate([[0], np.cumsum(n)[:-1]])))
-        weight = used / (1 - cosines + SMOOTH)
-        return float((weight * rate).sum() / max(weight.sum(), 1e-12)), found, cosines
-
-
-def _logit(p: float) -> float:
-    p = min(max(p, 1e-3), 1 - 1e-3)
-    return float(np.log(p / (1 - p)))
-
-
-def calibrate(index: BlockMaxIndex) -> tuple[float, float]:
-    """Slope and offset of the logistic curve from votes, with each example left out, to labels; at most 4000 entries, evenly spread."""
-    x, y, w = [], [], []
-    keys = index.keys
-    for e in range(0, len(keys), max(1, len(keys) // 4000)):
-        for label, n in ((1, index.toxic[e]), (0, index.n[e] - index.toxic[e])):
-            if n:
-                x.append(_logit(index.vote(keys[e], e, label)[0]))
-                y.append(label)
-                w.append(float(n))
+        at = [at for w in terms(text) if (at := place.get(w)) is not None]
+        return np.stack(np.unique(np.array(at, dtype=np.int32), return_counts=True)).astype(np.int32)
+
+    def vector(self, key: Key) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights, of length 1; empty if no term has a weight."""
+        weight = self.weight[key[0]] * (1 + np.log(key[1]))
+        kept = weight > 0
+        return key[0][kept].astype(np.int64), weight[kept] / np.sqrt((weight**2).sum() or 1.0)
+
+    def neighbours(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector (terms, weights) the entries that share a term and their cosines, nearest first, until they hold k examples."""
+        queries, rows = len(vectors), len(self.n)
+        if not rows:
+            return [(np.zeros(0, dtype=np.int64), np.zeros(0))] * queries
+        often, rare = np.zeros((queries, self.dense.shape[1])), np.zeros((queries, rows))
+        for i, (at, weight) in enumerate(vectors):
+            column = self.column[at]
+            often[i, column[column >= 0]] = weight[column >= 0]
+            at, weight = at[column < 0], weight[column < 0]
+            begin, size = self.posted[at], self.posted[at + 1] - self.posted[at]
+            where = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            rare[i] = np.bincount(self.entry[where], np.repeat(weight, size) * self.of[where], rows)
+        bound = often @ self.most.T + np.maximum.reduceat(rare, self.starts, axis=1)
+        scores = np.full((queries, rows), -1.0)
+
+        def score(open_: np.ndarray) -> None:
+            for b in np.flatnonzero(open_.any(axis=0)):
+                of, inside = np.flatnonzero(open_[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                scores[of, inside] = often[of] @ self.dense[inside].T + rare[of, inside]
+
+        best = np.zeros(bound.shape, dtype=bool)
+        first = min(BEST, bound.shape[1])
+        np.put_along_axis(best, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, axis=1)
+        score(best)
+        limit = np.maximum(np.partition(scores, -min(k, rows), axis=1)[:, -min(k, rows)], 0.0)
+        score(~best & (bound > 0) & (bound >= limit[:, None] - 1e-9))
+        limit = np.maximum(np.partition(scores, -min(k, rows), axis=1)[:, -min(k, rows)], 0.0)
+        out = []
+        for own, least in zip(scores, limit, strict=True):
+            found = np.flatnonzero((own >= least - 1e-9) & (own > 0))
+            cosines = np.round(own[found], DIGITS)
+            order = np.lexsort((self.doc[found], -cosines))
+            found, cosines = found[order], cosines[order]
+            upto = np.searchsorted(np.cumsum(self.n[found]), k) + 1
+            out.append((found[:upto], cosines[:upto]))
+        return out
+
+    def votes(self, keys: list[Key], labels: list[int] | None = None) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each vector the share of label 1 among its neighbours by nearness, the neighbours and their cosines;
+        ``labels``: one example of that label and this very vector is left out."""
+        out = []
+        for lo in range(0, len(keys), TOGETHER):
+            some = keys[lo : lo + TOGETHER]
+            for i, (found, cosines) in enumerate(self.neighbours([self.vector(k) for k in some], NEIGHBOURS + (labels is not None))):
+                n, toxic = self.n[found].astype(float), self.toxic[found].astype(float)
+                if labels is not None:
+                    own = np.array([np.array_equal(self.keys[e], some[i]) for e in found], dtype=bool)
+                    n, toxic = n - own, toxic - own * labels[lo + i]
+                rate = np.divide(toxic, n, out=np.zeros(len(n)), where=n > 0)
+                used = np.minimum(n, np.maximum(0, NEIGHBOURS - np.concatenate([[0], np.cumsum(n)])[: len(n)]))
+                weight = used / (1 - np.minimum(cosines, 1.0) + SMOOTH)
+                missing = (NEIGHBOURS - used.sum()) / (1 + SMOOTH)
+                out.append((float(((weight * rate).sum() + missing * self.rate) / (weight.sum() + missing)), found, cosines))
+        return out
+
+
+_BUILT: list = []
+
+
+def _index(shipped: Broadcast) -> Index:
+    """The index of a broadcast, built once in each Python worker."""
+    value = shipped.value
+    if not _BUILT or _BUILT[0] is not value:
+        _BUILT[:] = [value, Index(*value)]
+    return _BUILT[1]
+
+
+def _logit(p: np.ndarray | float) -> np.ndarray:
+    p = np.clip(p, 1e-3, 1 - 1e-3)
+    return np.log(p / (1 - p))
+
+
+def curve(votes: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic curve from votes to labels."""
     a, b = 1.0, 0.0
-    if len(set(y)) < 2:
+    if len(set(labels.tolist())) < 2:
         return a, b
-    x, y, w = np.array(x), np.array(y, dtype=float), np.array(w)
+    x, y = _logit(votes), labels.astype(float)
     design = np.stack([x, np.ones_like(x)], axis=1)
     theta = np.array([a, b])
     for _ in range(25):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        gradient = design.T @ (w * (p - y)) + 1e-3 * (theta - [1, 0])
-        hessian = (design * (w * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        gradient = design.T @ (p - y) + 1e-3 * (theta - [1, 0])
+        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         theta = theta - np.clip(np.linalg.solve(hessian, gradient), -2, 2)
     return float(max(theta[0], 0.05)), float(theta[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
-    """Index and calibration from documents (doc_id, text) and labels (doc_id, toxic)."""
-    small_batches(docs.sparkSession)
-    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = known.count()
-    # At most about `sample` rows of two numbers: a proven bound for the broadcast.
-    chosen = known.where(share(F.col("doc_id"), 1) * rows < sample) if rows else known
-    examples = written(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "examples")
-    words, idf, _ = vocabulary(examples)
-    vectors = Vectors(words, idf)
-    shipped = examples.sparkSession.sparkContext.broadcast(words)
-
+def _keyer(shipped: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = Vectors(shipped.value, np.ones(len(shipped.value)))
+        index = Index(shipped.value, np.ones(len(shipped.value)), ([], []))
+        for batch in batches:
+            found = [index.key(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [k[0] for k in found], "c": [k[1] for k in found]})
+
+    return keys
+
+
+def _voter(shipped: Broadcast) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = _index(shipped)
         for batch in batches:
-            found = [own.key(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "at": [[a for a, _ in k] for k in found], "c": [[c for _, c in k] for k in found]})
+            keys = [np.stack([a, c]) for a, c in zip(batch["at"], batch["c"], strict=True)]
+            yield pd.DataFrame({"vote": [v for v, _, _ in index.votes(keys, batch["toxic"].tolist())], "toxic": batch["toxic"]})
 
-    vectored = examples.mapInPandas(keys, "doc_id long, toxic int, at array<int>, c array<int>")
-    grouped = vectored.groupBy("at", "c").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.min("doc_id").alias("doc")).toPandas()
-    entries = {tuple(zip(map(int, r.at), map(int, r.c), strict=True)): (int(r.n), int(r.t), int(r.doc)) for r in grouped.itertuples()}
-    index = BlockMaxIndex(vectors, entries)
-    return {"words": words, "index": index, "curve": calibrate(index)}
+    return votes
 
 
-def toxicity(text: Column, model: dict, spark: SparkSession) -> Column:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, relevance: bool = True) -> dict:
+    """Index parts and calibration from documents (doc_id, text) and labels (doc_id, toxic)."""
+    small_batches(docs.sparkSession)
+    context = docs.sparkSession.sparkContext
+    known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = known.count()
+    # At most about `sample` rows of two numbers: a proven bound for the broadcast.
+    chosen = known.where(share(F.col("doc_id"), 1) * rows < sample) if rows else known
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    examples = written(found.groupBy("doc_id", F.xxhash64("text").alias("same")).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic")).drop("same"), "examples")
+    words, weight = vocabulary(examples, relevance)
+    shipped = context.broadcast(words)
+    vectored = written(examples.mapInPandas(_keyer(shipped), "doc_id long, toxic int, at array<int>, c array<int>"), "vectors")
+    shipped.unpersist()
+    grouped = vectored.groupBy("at", "c").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"), F.min("doc_id").alias("doc")).toPandas()  # bounded by the sample
+    grouped = grouped.sort_values("doc")
+    entries = [np.array([a, c], dtype=np.int32).reshape(2, -1) for a, c in zip(grouped["at"], grouped["c"], strict=True)], list(zip(grouped["n"], grouped["t"], grouped["doc"], strict=True))
+    index = context.broadcast((words, weight, entries))
+    spread = vectored.repartition(4 * context.defaultParallelism, "doc_id")
+    votes = spread.mapInPandas(_voter(index), "vote double, toxic int").toPandas()
+    return {"index": index, "curve": curve(votes["vote"].to_numpy(), votes["toxic"].to_numpy())}
+
+
+def toxicity(text: Column, model: dict) -> Column:
     """Struct (score, evidence: the nearest examples' ids) of a text column."""
-    shipped = spark.sparkContext.broadcast(model)
+    shipped, (a, b) = model["index"], model["curve"]
 
     @F.pandas_udf("score double, evidence array<long>")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index, (a, b) = shipped.value["index"], shipped.value["curve"]
-        seen: dict[tuple, tuple[float, list[int]]] = {}
-
-        def of(text: str | None) -> tuple[float, list[int]]:
-            key = index.vectors.key(text)
-            if key not in seen:
-                if len(seen) > 100_000:
-                    seen.clear()
-                vote, found, _ = index.vote(key)
-                value = 1 / (1 + np.exp(-np.clip(a * _logit(vote) + b, -30, 30))) if len(index.n) else 0.0
-                seen[key] = float(value), [int(d) for d in index.doc[found[:EVIDENCE]]]
-            return seen[key]
-
+        index = _index(shipped)
         for texts in batches:
-            yield pd.DataFrame([of(t) for t in texts], columns=["score", "evidence"])
+            found = index.votes([index.key(t) for t in texts])
+            value = 1 / (1 + np.exp(-np.clip(a * _logit(np.array([v for v, _, _ in found])) + b, -30, 30))) if len(index.keys) else np.zeros(len(texts))
+            yield pd.DataFrame({"score": value, "evidence": [index.doc[near[:EVIDENCE]].tolist() for _, near, _ in found]})
 
     return score(text)
 
@@ -233,7 +293,7 @@ def learned(doc_id: str = "doc_id") -> Column:
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence of documents (doc_id, text)."""
     model = train(docs, labels.where(learned()))
-    scored = docs.select("doc_id", (~learned()).alias("held_out"), toxicity(F.col("text"), model, docs.sparkSession).alias("scored"))
+    scored = docs.select("doc_id", (~learned()).alias("held_out"), toxicity(F.col("text"), model).alias("scored"))
     return scored.select("doc_id", "held_out", "scored.score", (F.col("scored.score") >= 0.5).cast("int").alias("predicted"), "scored.evidence")
 
 
