@@ -10,18 +10,28 @@ by ASCII white space; a shorter text is one shingle). Documents are linked at Ja
    number of ones estimates similarity closely where it is high.
 3. Star round: each document meets the smallest id of each of its buckets. Pairs whose sketches leave
    a similarity of ``SIMILAR`` possible are confirmed on full sets, and components are formed.
-4. Rest round: the documents of buckets that still hold more than one component are gathered, and
-   get finer odd sketches (``FINE_HASHES`` samples). They are compared across components within the
-   clusters that such buckets form, in pairs of chunks so that no task holds a large cluster. Pairs
-   that the finer sketches leave possible are confirmed on full sets too. No bucket is capped, and
-   no pair inside a component is made.
-
-With 32 bands of 4 values a pair at similarity 0.8 shares a bucket with probability 1 - 5e-8. Links
-and components are tables throughout; nothing of them reaches the driver.
-
-Cases: a null or empty text, or one of white space, has an empty set: it is its own component and
-kept. Rows with equal doc_id share a component; a null doc_id takes no part (component null, kept).
-Long texts are used whole; their hashes are made in pieces of bounded size.
+4. Rest round: the documents of buckets that still hold more than one component get finer odd sketches
+   (``FINE_HASHES`` samples) and are compared within each such bucket, in pairs of chunks of at most
+   ``CHUNK`` members, so that no task holds a large bucket. Only pairs of different components are made,
+   each in the first bucket that it shares, and only if the finer sketches leave the similarity
+   possible; they are confirmed on full sets too. No bucket is capped.
+
+What may be lost: with 32 bands of 4 values a pair at similarity 0.8 shares no bucket with probability
+5e-8. A pair that the star round's sketches reject is met again in the rest round unless its documents
+are in one component by then, so only the finer sketches decide: their estimate has a standard deviation
+below 0.011 at similarity 0.8 (0.0088 of sampling, the rest of chance parity), and the cut is 5 of them
+below, so a link at the threshold is lost with probability below 1e-6, and higher ones with less. No
+link below ``SIMILAR`` is ever made. Links and components are tables; nothing of them reaches the driver.
+
+Scale: the pairs of a bucket whose members are nearly, but not, similar enough grow with the square of
+their number, as no link may be lost; in memory they are two sketches each, and none is written. Joins on a
+hot key (a bucket, a centre, a root) go through ``spread``, and the full sets of a centre of many
+pairs are copied to several tasks.
+
+Cases: a null or empty text, or one of white space, has an empty set: linked with nothing. Rows of
+equal doc_id are one document: whatever their texts, they share a component (also a row with an empty
+set), and each has its own n_shingles; a null doc_id takes no part (component null, kept). Long texts
+are used whole; their hashes are made in pieces of bounded size. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,13 +45,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import drop_written, small, small_batches, table, written
+from claimweave.llm.common import drop_written, small_batches, spread, starts, table, written
 
 SIZE, SIMILAR = 5, 0.8
 HASHES, BANDS, BITS = 128, 32, 512
 FINE_HASHES, FINE_BITS = 2048, 4096
-#: A cluster is cut into chunks of about CHUNK members, but no more than CHUNKS of them until chunks reach LARGE.
-CHUNK, CHUNKS, LARGE = 64, 12, 1024
+#: Members of a bucket that are compared with as many at a time; pairs with one document that meet a copy of its set.
+CHUNK, SPREAD = 512, 2048
 #: Estimated similarity below which a pair is not confirmed, for either sketch: about five standard deviations below SIMILAR.
 POSSIBLE, FINE_POSSIBLE = 0.6, 0.745
 _PIECE = 4096
@@ -174,16 +184,28 @@ def _confirmer(similar: float) -> Callable[[pd.Series, pd.Series], pd.Series]:
     return confirm
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
+    """pairs with the sets (doc_id, hashes) of one side; the set of a document of many pairs goes to several tasks."""
+    sets = sets.toDF(side, f"{side}_set")
+    parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")).where("parts > 1")
+    parts = written(parts, "parts")
+    if not parts.limit(1).count():
+        return pairs.join(sets, side)
+    part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = spread(pairs, parts, side, "left").withColumn("part", part).drop("parts")
+    copies = sets.join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return dealt.join(copies, [side, "part"]).drop("part")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similar: float) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; sets are made anew, for these documents only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    ids = written(ids, "ids")
-    found = docs.select("doc_id", "text").join(small(ids), "doc_id", "left_semi")
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    found = spread(docs.select("doc_id", "text"), ids, "doc_id")
     sets = written(found.mapInPandas(_setter(size), "doc_id long, hashes binary"), "sets")
     same = F.pandas_udf(_confirmer(similar), "boolean")
     # Several rows of one doc_id give several pairs here, and one link below.
-    both = pairs.join(sets.toDF("a", "left_set"), "a").join(sets.toDF("b", "right_set"), "b")
-    out = written(both.where(same("left_set", "right_set")).select("a", "b").distinct(), "links")
+    both = _with_sets(_with_sets(pairs, sets, "a", "b"), sets, "b", "a")
+    out = written(both.where(same("a_set", "b_set")).select("a", "b").distinct(), "links")
     drop_written(sets)
     drop_written(ids)
     return out
@@ -199,16 +221,17 @@ def components(links: DataFrame) -> DataFrame:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("parent")), "parents")
         while True:  # follow parents to roots: the depth halves each time
-            up = parents.join(parents.select(F.col("node").alias("parent"), F.col("parent").alias("above")), "parent", "left")
+            up = spread(parents, parents.select(F.col("node").alias("parent"), F.col("parent").alias("above")), "parent", "left")
             up = written(up.select("node", F.coalesce("above", "parent").alias("parent"), (F.coalesce("above", "parent") != F.col("parent")).alias("moved")), "parents")
             moved = up.where("moved").limit(1).count()
             drop_written(parents)
             parents = up.select("node", "parent")
             if not moved:
                 break
-        new = of.join(parents.select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
+        new = spread(of, parents.select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))
         new = written(new, "roots")
-        a = left.join(parents.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a").join(parents.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
+        a = written(spread(left, parents.select(F.col("node").alias("a"), F.col("parent").alias("pa")), "a"), "left")
+        a = spread(a, parents.select(F.col("node").alias("b"), F.col("parent").alias("pb")), "b")
         after = written(a.where("pa <> pb").select(F.greatest("pa", "pb").alias("a"), F.least("pa", "pb").alias("b")).distinct(), "left")
         for old in (left, of, parents):
             drop_written(old)
@@ -216,25 +239,58 @@ def components(links: DataFrame) -> DataFrame:
     return of.select("node", F.col("root").alias("component"))
 
 
-def _chunk_pairs(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a group's members, of different components, whose sketches leave the similarity possible."""
+def _near(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a group's two chunks, of different components, whose sketches leave the similarity possible and that share no earlier bucket."""
+    none = np.zeros(0, dtype=np.int64)
+    component = group["component"].to_numpy()
+    if (component == component[0]).all():
+        return none, none
+    doc, side, low, high, band = group["doc_id"].to_numpy(), group["chunk"].to_numpy(), group["low"].iat[0], group["high"].iat[0], int(group["band"].iat[0])
     fine = np.frombuffer(b"".join(group["fine"]), dtype=np.uint64).reshape(len(group), -1)
-    component, doc, side = group["component"].to_numpy(), group["doc_id"].to_numpy(), group["chunk"].to_numpy()
-    low, high = int(key[1]), int(key[2])
     left, right = np.flatnonzero(side == low), np.flatnonzero(side == high)
-    most = most_ones(FINE_POSSIBLE, FINE_HASHES, FINE_BITS)
-    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    most, a, b = most_ones(FINE_POSSIBLE, FINE_HASHES, FINE_BITS), [none], [none]
     for i in left:
         others = right[(component[right] != component[i]) & ((doc[right] > doc[i]) if low == high else (doc[right] != doc[i]))]
         near = others[np.bitwise_count(fine[others] ^ fine[i]).sum(axis=1) <= most]
+        if len(near) and band:
+            own = group["bands"].iat[i][:band]
+            near = near[[not (own == group["bands"].iat[j][:band]).any() for j in near]]
         a.append(np.maximum(doc[near], doc[i]))
         b.append(np.minimum(doc[near], doc[i]))
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _comparer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Near pairs of the groups (key, low, high) of a sorted partition; a group may go on in the next batch."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pd.concat([held, batch], ignore_index=True)
+        by = batch[["key", "low", "high"]].to_numpy()
+        starts_ = [0, *(np.flatnonzero((by[1:] != by[:-1]).any(axis=1)) + 1).tolist()]
+        found = [_near(batch.iloc[lo:hi]) for lo, hi in zip(starts_, starts_[1:], strict=False)]
+        held = batch.iloc[starts_[-1] :]
+        if found:
+            yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+    if held is not None and len(held):
+        a, b = _near(held)
+        yield pd.DataFrame({"a": a, "b": b})
+
+
+def _repeated(made: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ids whose rows differ (doc_id), and links (a, b) of such an id with the classes of its texts."""
+    ids = made.where("doc_id is not null").groupBy("doc_id").agg(F.min("same").alias("least"), F.max("same").alias("most"), F.count("same").alias("some"), F.count("*").alias("rows"))
+    ids = written(ids.where("least <> most or (some > 0 and some < rows)").select("doc_id"), "repeated")
+    if not ids.limit(1).count():
+        return ids, ids.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b"))
+    texts = written(spread(made.where("same is not null").select("doc_id", "same"), ids, "doc_id").distinct(), "texts")
+    return ids, written(spread(texts.withColumnRenamed("doc_id", "a"), classes.select("same", F.col("doc_id").alias("b")), "same").select("a", "b"), "alike")
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, similar: float = SIMILAR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of documents (doc_id, text)."""
     small_batches(docs.sparkSession)
+    starts(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "n long, same binary, bands array<long>, odd array<long>, doc_id long"
     made = written(docs.mapInPandas(_sketcher(size), schema), "sketches")
@@ -242,42 +298,42 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, similar: float = SIMILAR)
     # Classes of equal sets; the aggregate is combined on the map side, so a class of any size is no hot key.
     classes = made.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"), F.first("bands").alias("bands"), F.first("odd").alias("odd"))
     classes = written(classes, "classes")
-    banded = classes.select("doc_id", F.explode("bands").alias("key"))
+    repeated, alike = _repeated(made.select("doc_id", "same"), classes)
+    banded = classes.select("doc_id", F.posexplode("bands").alias("band", "key"))
     buckets = written(banded.groupBy("key").agg(F.count("*").alias("rows"), F.min("doc_id").alias("b")).where("rows > 1"), "buckets")
-    members = written(banded.join(small(buckets), "key").select("key", "rows", "doc_id", "b"), "members")
+    members = written(spread(banded, buckets, "key").select("key", "band", "doc_id", "b"), "members")
 
-    odd = classes.select("doc_id", "odd")
+    odd = classes.groupBy("doc_id").agg(F.min("odd").alias("odd"))  # several classes may have one smallest id
     ones = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    star = members.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
-    star = star.join(odd.toDF("a", "odd_a"), "a").join(odd.toDF("b", "odd_b"), "b").where(estimate(ones) >= POSSIBLE).select("a", "b")
-    star = written(star, "star")
-    links = confirmed(star, docs, size, similar)
+    star = written(members.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "star")
+    centres = odd.toDF("b", "odd_b").join(star.select("b").distinct(), "b", "left_semi")
+    star = spread(star.join(odd.toDF("a", "odd_a"), "a"), written(centres, "centres"), "b").where(estimate(ones) >= POSSIBLE).select("a", "b")
+    links = confirmed(written(star, "star"), docs, size, similar).unionByName(alike)
     of = components(links)
 
-    # Buckets that still hold several components: their members form clusters, compared across components.
-    placed = written(members.join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "b", F.coalesce("component", "doc_id").alias("component")), "placed")
-    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("key")
-    open_ = written(placed.join(small(written(mixed, "mixed")), "key").select("doc_id", "b", "component").distinct(), "open")
+    # Buckets that still hold several components: their members are compared across components.
+    placed = written(spread(members, of.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "band", "doc_id", F.coalesce("component", "doc_id").alias("component")), "placed")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")).where("least <> most").select("key", "chunks")
+    open_ = written(spread(placed, written(mixed, "mixed"), "key"), "open")
     if open_.limit(1).count():
-        clusters = components(open_.select(F.col("doc_id").alias("a"), "b")).toDF("doc_id", "cluster")
-        inside = written(open_.select("doc_id", "component").distinct().join(clusters, "doc_id"), "inside")
-        rows = inside.groupBy("cluster").agg(F.count("*").alias("rows"))
-        chunks = F.greatest(F.least(F.ceil(F.col("rows") / CHUNK), F.lit(CHUNKS)), F.ceil(F.col("rows") / LARGE)).cast("int")
-        cut = inside.join(small(written(rows.select("cluster", chunks.alias("chunks")), "clusters")), "cluster")
-        ids = small(inside.select("doc_id").distinct())
-        fine = docs.join(ids, "doc_id", "left_semi").mapInPandas(_refiner(size), "doc_id long, fine binary")
-        dealt = cut.join(fine, "doc_id").withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        dealt = dealt.select("cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc_id", "component", "fine")
-        pairs = dealt.groupBy("cluster", "low", "high").applyInPandas(_chunk_pairs, "a long, b long")
+        ids = written(open_.select("doc_id").distinct(), "ids")
+        fine = spread(docs, ids, "doc_id").mapInPandas(_refiner(size), "doc_id long, fine binary")
+        sketched = written(fine.join(classes.select("doc_id", "bands"), "doc_id"), "fine")
+        dealt = open_.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        dealt = dealt.select("key", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "doc_id", "component")
+        dealt = dealt.join(sketched, "doc_id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+        pairs = dealt.mapInPandas(_comparer, "a long, b long").distinct()
         more = confirmed(written(pairs, "pairs"), docs, size, similar)
         if more.limit(1).count():
             of = components(links.unionByName(more))
 
     # Only classes of several documents, or linked ones, have a component other than the document itself.
-    whole = classes.select("same", "doc_id", "rows").join(of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    whole = spread(classes.select("same", "doc_id", "rows"), of.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     whole = whole.where("rows > 1 or component is not null").select("same", F.coalesce("component", "doc_id").alias("component"))
-    out = made.select("doc_id", F.col("n").alias("n_shingles"), "same").join(written(whole, "components"), "same", "left")
+    out = spread(made.select("doc_id", F.col("n").alias("n_shingles"), "same"), written(whole, "components"), "same", "left")
+    if repeated.limit(1).count():  # rows with an empty set take the component of their id
+        own = written(of.join(repeated, F.col("node") == F.col("doc_id")).select("doc_id", F.col("component").alias("own")), "own")
+        out = spread(out, own, "doc_id", "left").withColumn("component", F.coalesce("own", "component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
