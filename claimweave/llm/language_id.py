@@ -29,10 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import fold, share, small, small_batches, table
+from claimweave.llm.common import fold, share, small_batches, spread, table, written
 
 #: Bound of the training sample, in documents of each language (as expected by the hash).
 PER_LANGUAGE = 2500
+#: Most values of lang: a model has a column for each (more are an error, not a cut).
+LANGUAGES = 5000
 #: Most words, and n-grams of each length, that a language keeps.
 GRAMS = 20_000
 LONGEST = 5
@@ -70,8 +72,10 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict:
     """The model from rows (doc_id, lang, text): languages, and log10 frequencies per length (0: words)."""
     small_batches(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").select("doc_id", "lang", "text")
-    sizes = known.groupBy("lang").agg(F.count("*").alias("rows"))
-    sample = known.join(small(sizes, 100_000), "lang").where(share(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 5) * F.col("rows") < per_language)
+    sizes = written(known.groupBy("lang").agg(F.count("*").alias("rows")), "languages")
+    if sizes.limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} values of lang")
+    sample = spread(known, sizes, "lang").where(share(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 5) * F.col("rows") < per_language)
     counted = sample.select("lang", "text").mapInPandas(_count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
     counted = counted.withColumn("total", F.sum("c").over(W.partitionBy("lang", "n")))
     best = counted.withColumn("rank", F.row_number().over(W.partitionBy("lang", "n").orderBy(F.desc("c"), "gram"))).where(F.col("rank") <= GRAMS)

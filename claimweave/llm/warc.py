@@ -248,7 +248,7 @@ def written_files(manifest: DataFrame, folder: str) -> DataFrame:
     """The archives of a manifest, as rows (path, content); other files in the folder are left out."""
     spark = manifest.sparkSession
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
-    return found.withColumn("file", F.substring_index("path", "/", -1)).join(small(manifest.select("file"), 100_000), "file", "left_semi")
+    return found.withColumn("file", F.substring_index("path", "/", -1)).join(small(manifest.select("file")), "file", "left_semi")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
