@@ -1,12 +1,15 @@
 """A corpus for training from raw documents: five stages, each one operator of ``claimweave.llm``.
 
-Each stage takes what the one before kept and returns the columns of its documents; the last returns
-the mix. Rejected documents are those whose language is not recognized (no letters, or no language
-ahead of all others together), those of low quality, all but one of each group of near-duplicates,
-and those that hold a benchmark item.
+Each stage takes what the one before kept and returns the columns of its documents; the last returns the
+corpus itself: the documents that the mix takes, with all their columns, as often as it takes them
+(``copy``: 1, 2, ...). Rejected documents are those whose language is not recognized (no letters, or no
+language ahead of all others together), those of low quality, all but one of each group of
+near-duplicates, and those that hold a benchmark item.
 
 Cases: stages take nulls, empty tables, repeated rows and other columns as their operators do (see
-there); rows of equal doc_id are one document to the near-duplicate stage, which keeps one of them.
+there). To the near-duplicate stage every row is a document of its own, also if doc_ids are null or
+repeated: of each group of similar texts the row of the smallest doc_id stays (null last, ties by the
+row's hash), so texts that differ are kept and reruns agree. Empty texts are rejected as of no language.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimweave.llm import decontaminate, language_id, minhash, mixing, quality
-from claimweave.llm.common import small, table, written
+from claimweave.llm.common import small, spread, table, written
 
 #: Least posterior of the predicted language.
 SURE = 0.5
@@ -33,22 +36,32 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = written(minhash.near_duplicates(docs), "groups")
-    out = docs.join(small(groups.where("not kept").select("doc_id").distinct()), "doc_id", "left_anti")
-    repeated = written(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    if repeated.limit(1).count():
-        again = small(repeated)
-        out = out.join(again, "doc_id", "left_anti").unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(docs.columns)
+    row = "row"
+    while row in docs.columns:
+        row += "_"
+    marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(marked.select(F.col(row).alias("doc_id"), "text"))
+    groups = written(found.select(F.col("doc_id").alias("number"), "component_id"), "groups")
+    several = written(groups.where("number <> component_id").select("component_id").distinct(), "several")
+    if not several.limit(1).count():
+        return marked.drop(row)
+    groups = written(spread(groups, several, "component_id"), "members")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64(*(f"`{c}`" for c in docs.columns)).alias("hash"), F.col(row).alias("number"))
+    members = spread(marked.select(F.col(row).alias("number"), order.alias("order")), groups, "number")
+    first = written(members.groupBy("component_id").agg(F.min("order").alias("first")).select("component_id", F.col("first.number").alias("first")), "first")
+    dropped = spread(groups, first, "component_id").where("number <> first").select(F.col("number").alias(row))
+    return marked.join(small(written(dropped, "dropped")), row, "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    items = decontaminate.items_of(F.col("text"), table(spark, sf_dir, "benchmark"))
-    return docs.where(F.size(items) == 0)
+    items = "items"
+    while items in docs.columns:
+        items += "_"
+    return decontaminate.with_items(docs, table(spark, sf_dir, "benchmark"), items).where(F.size(items) == 0).drop(items)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.corpus(docs)
 
 
 STAGES = [
