@@ -127,3 +127,14 @@ def spread(left: DataFrame, right: DataFrame, on: str, how: str = "inner") -> Da
     heavy = F.broadcast(heavy)
     few = left.join(heavy, on, "left_semi").join(F.broadcast(right.join(heavy, on, "left_semi")), on, how)
     return few.unionByName(left.join(heavy, on, "left_anti").join(right, on, how))
+
+
+def salted(left: DataFrame, right: DataFrame, on: str, by: str, rows: int) -> DataFrame:
+    """left joined with right, which has one large row a key (or few): keys of more than ``rows`` rows of left are dealt by
+    ``by`` to several tasks, each with a copy of right's row."""
+    parts = written(left.groupBy(on).agg(F.ceil(F.count("*") / rows).cast("int").alias("_parts")).where("_parts > 1"), "parts")
+    if not parts.limit(1).count():
+        return left.join(right, on)
+    dealt = spread(left, parts, on, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    copies = right.join(parts, on, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [on, "_part"]).drop("_part")

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import drop_written, small_batches, spread, starts, table, written
+from claimweave.llm.common import drop_written, salted, small_batches, spread, starts, table, written
 
 SIZE, SIMILAR = 5, 0.8
 HASHES, BANDS, BITS = 128, 32, 512
@@ -184,19 +184,6 @@ def _confirmer(similar: float) -> Callable[[pd.Series, pd.Series], pd.Series]:
     return confirm
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, side: str, other: str) -> DataFrame:
-    """pairs with the sets (doc_id, hashes) of one side; the set of a document of many pairs goes to several tasks."""
-    sets = sets.toDF(side, f"{side}_set")
-    parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("parts")).where("parts > 1")
-    parts = written(parts, "parts")
-    if not parts.limit(1).count():
-        return pairs.join(sets, side)
-    part = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
-    dealt = spread(pairs, parts, side, "left").withColumn("part", part).drop("parts")
-    copies = sets.join(parts, side, "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    return dealt.join(copies, [side, "part"]).drop("part")
-
-
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similar: float) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough; sets are made anew, for these documents only."""
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
@@ -204,7 +191,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similar: float) -> D
     sets = written(found.mapInPandas(_setter(size), "doc_id long, hashes binary"), "sets")
     same = F.pandas_udf(_confirmer(similar), "boolean")
     # Several rows of one doc_id give several pairs here, and one link below.
-    both = _with_sets(_with_sets(pairs, sets, "a", "b"), sets, "b", "a")
+    both = salted(salted(pairs, sets.toDF("a", "a_set"), "a", "b", SPREAD), sets.toDF("b", "b_set"), "b", "a", SPREAD)
     out = written(both.where(same("a_set", "b_set")).select("a", "b").distinct(), "links")
     drop_written(sets)
     drop_written(ids)

@@ -1,26 +1,34 @@
 """Operator 2: main text of HTML pages by wrapper induction.
 
 Up to ``PAGES`` distinct pages of each host, chosen by a hash, are parsed into DOM trees and aligned one
-after the other by simple tree matching (the largest set of matching nodes that keeps parents and order;
-runs of like siblings count as one repeated node). What is aligned becomes the host's frame, which only
-says which nodes of its pages are the same slot. Then every page of the host is aligned with the frame
-(a node that the frame lacks is a slot by its path), and for each slot the texts of all distinct pages
-are counted: a text is template if ``SUPPORT`` pages and nine in ten of those that have the slot have
-that very text there. The content of a page is its texts that are not template, in page order.
-
-Slots also vary in menus, adverts or footers, so a slot is told from boilerplate by where it lies:
-below an element that HTML or its class, id or role marks as one (``BOILERPLATE``), or in a repeated
-node most of whose text, over all distinct pages of the host, is inside links. If a page has a marked
-main region (``article``, ``main``), only slots in it are content. A page's own text is compared with
-the templates, so a text that differs stays, and templates never remove all text of a page.
+after the other by simple tree matching: the heaviest matching of nodes that keeps parents and order,
+siblings being told apart by what is in them (their subtrees, equal texts, texts of like length); only
+paragraphs, list items and table cells in a row, and runs of more than ``RUN`` like siblings, count as one
+repeated node. What is aligned becomes the host's frame, which says which nodes of its pages are the same
+slot. Then every page of the host is aligned with the frame (a node that the frame lacks is a slot by
+its path), and all distinct pages together decide about the slots:
+
+* A text is template if ``SUPPORT`` pages and nine in ten of those that have its slot have that very text there.
+* A slot is a menu if most of its text, over all pages, is inside links.
+* The main region is found from the root down: the child that holds ``MASS`` of the text that is neither
+  template nor linked is entered as long as there is one (down to, and not into, runs of paragraphs).
+
+The content of a page is its text in the main region that is neither template nor menu, in page order,
+with a headline (``h1``) before the region if the region has none. This needs no element names and no
+classes. Names and classes are hints where the pages decide nothing: on hosts of fewer than ``SUPPORT``
+pages, in pages that lack the region, and for marked elements inside a region (``BOILERPLATE``,
+``SECTIONS``); a region that is wider than a page's ``article`` or ``main`` is narrowed to these. In
+paragraphs and headings a class counts only if it is such a word, not if it merely holds one; an element
+that holds the main element or headline is never dropped for its class, nor is a form that holds these or
+half of the text, or a ``header`` in the main element. Templates never remove all text of a page.
 
 Pages per host that make the frame are bounded, and the counts are added up on the map side by slot and
 text, so the largest host is no large group; wrappers are broadcast only if they are counted and small,
-else joined.
+else joined, the pages of a host being dealt to several tasks.
 
 Cases: null or empty html gives an empty text; elements may be nested to any depth; broken or truncated markup is closed as a browser
 would (unclosed elements end with their parent); a null url is a host of its own; html without
-elements is text; repeated pages each get a row; other columns are not read.
+elements is text; repeated pages each get a row and count once; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,16 +39,21 @@ import re
 from hashlib import blake2b
 from collections import Counter
 from collections.abc import Callable, Generator, Iterable, Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import small, table, written
+from claimweave.llm.common import salted, small, starts, table, written
 
-#: Pages of a host that its frame is made from, and least pages that make equal text a template.
+#: Pages of a host that its frame is made from, and least pages that decide about a slot.
 PAGES, SUPPORT = 8, 5
+#: Like siblings in a row that are told apart; share of a node's free text that makes a child the main region.
+RUN, MASS = 16, 0.8
+#: Pages of a host that meet a copy of its wrapper, if wrappers are too large to broadcast.
+SPREAD = 5000
 #: Most bytes and rows of all wrappers together that are broadcast.
 BROADCAST_BYTES = 32 << 20
 
@@ -50,7 +63,10 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-DROPPED = frozenset("head script style noscript template textarea title form button select input option iframe svg canvas object nav footer aside header menu dialog".split())
+HIDDEN = frozenset("head script style noscript template textarea title button select input option label iframe svg canvas object".split())
+SECTIONS = frozenset("nav footer aside header menu dialog form".split())
+REPEATED = frozenset("p li tr td th dt dd".split())
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre td th".split())
 MAIN = frozenset(["article", "main"])
 CLOSES_P = BLOCKS - {"body", "html", "option", "optgroup", "legend", "li", "dd", "dt", "tbody", "td", "tfoot", "th", "thead", "tr", "summary"}
 SIBLINGS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -131,8 +147,11 @@ def _close(stack: list[Node], opened: Counter, names: set[str], scope: frozenset
 
 
 def marked(node: Node) -> bool:
-    """Boilerplate by element, class, id or role."""
-    return node.name in DROPPED or bool(node.mark) and not BOILERPLATE.isdisjoint(_WORDS.findall(node.mark))
+    """Boilerplate by class, id or role."""
+    if not node.mark:
+        return False
+    words = node.mark.split() if node.name in FLOW else _WORDS.findall(node.mark)
+    return not BOILERPLATE.isdisjoint(words)
 
 
 def blocks(node: Node) -> list[list]:
@@ -147,7 +166,7 @@ def blocks(node: Node) -> list[list]:
             open_.pop()
         elif isinstance(child, str):
             run.append((child, links))
-        elif child.name in BLOCKS or child.name in DROPPED or child.name in RAW:
+        elif child.name in BLOCKS or child.name in HIDDEN or child.name in SECTIONS or child.name in RAW:
             if run:
                 out.append(run)
                 run = []
@@ -167,55 +186,70 @@ def clean(run: list[tuple[str, bool]]) -> str:
 
 
 class Slot:
-    """A node of a frame: like elements of all aligned pages. Runs of text are slots named '#text'."""
+    """A node of a frame: like elements of all aligned pages. Runs of text are slots named '#text', with the texts seen and their mean size."""
 
-    __slots__ = ("children", "key")
+    __slots__ = ("children", "key", "size", "texts")
 
-    def __init__(self, key: tuple[str, str]) -> None:
-        self.key, self.children = key, []
+    def __init__(self, key: tuple[str, str], texts: Iterable[int] = (), size: float = 0.0) -> None:
+        self.key, self.children, self.texts, self.size = key, [], set(texts), size
 
 
 class Wrapper:
-    """A host's frame, and what its pages say about slots: hashes of template texts, and repeated nodes of links."""
+    """A host's frame, and what its pages say about slots: hashes of template texts, menus, and the main region."""
 
-    __slots__ = ("fixed", "frame", "menus")
+    __slots__ = ("fixed", "frame", "menus", "region")
 
-    def __init__(self, frame: Slot | None, fixed: Iterable[int] = (), menus: Iterable[int] = ()) -> None:
-        self.frame, self.fixed, self.menus = frame, frozenset(fixed), frozenset(menus)
+    def __init__(self, frame: Slot | None, fixed: Iterable[int] = (), menus: Iterable[int] = (), region: int | None = None) -> None:
+        self.frame, self.fixed, self.menus, self.region = frame, frozenset(fixed), frozenset(menus), region
 
 
 class Tree:
-    """A page's node for alignment: runs of like siblings are one group. size, linked: letters below it, and inside links."""
+    """A page's node for alignment. groups: its parts by key, several only in repeated nodes. size, linked: letters below it,
+    and inside links; holds: an h1, article or main is in it; hint: boilerplate by name or class."""
 
-    __slots__ = ("groups", "key", "linked", "run", "size", "skip", "text")
+    __slots__ = ("groups", "hint", "holds", "key", "linked", "run", "size", "text")
 
     def __init__(self, node: Node | None, run: list | None = None) -> None:
-        self.run, self.groups, self.skip, self.text = run, [], False, clean(run) if run else ""
+        self.run, self.groups, self.text = run, [], clean(run) if run else ""
         self.size, self.linked = len(self.text), sum(len(t) for t, link in run if link) if run else 0
-        self.key = ("#text", "") if node is None else (node.name, _shape(node.mark))
-        if node is None:
-            return
-        self.skip = marked(node)
+        self.key = ("#text", "") if node is None else (node.name, _shape(node.mark) if node.mark else "")
+        self.hint = node is not None and (node.name in SECTIONS or marked(node))
+        self.holds = node is not None and (node.name == "h1" or node.name in MAIN)
 
 
 def grown(top: Node) -> Tree:
-    """The tree of an element and all that is in it."""
+    """The tree of an element and all that is in it but what is never shown."""
     trees = [(Tree(top), top)]
     for tree, node in trees:  # grows; parents come before their children
-        for part in blocks(node) if node.name not in RAW else ():
-            child = Tree(part) if isinstance(part, Node) else Tree(None, part)
-            if child.run is not None and not child.text:
-                continue
-            if child.run is None:
-                trees.append((child, part))
-            if tree.groups and tree.groups[-1][0] == child.key:
-                tree.groups[-1][1].append(child)
+        parts = []
+        for part in blocks(node):
+            if isinstance(part, Node):
+                if part.name not in HIDDEN and part.name not in RAW:
+                    child = Tree(part)
+                    trees.append((child, part))
+                    parts.append(child)
+            elif (child := Tree(None, part)).text:
+                parts.append(child)
+        at = 0
+        while at < len(parts):
+            upto, key = at + 1, parts[at].key
+            while upto < len(parts) and parts[upto].key == key:
+                upto += 1
+            if key[0] in REPEATED or key[0] == "#text" or upto - at > RUN:
+                tree.groups.append((key, parts[at:upto]))
             else:
-                tree.groups.append((child.key, [child]))
+                tree.groups += [(key, [part]) for part in parts[at:upto]]
+            at = upto
     for tree, _ in reversed(trees):
         for _, like in tree.groups:
-            tree.size += sum([t.size for t in like])
-            tree.linked += sum([t.linked for t in like])
+            for part in like:
+                tree.size += part.size
+                tree.linked += part.linked
+                tree.holds = tree.holds or part.holds and part.key[0] not in SECTIONS
+    whole = trees[0][0].size
+    for tree, node in trees:
+        if tree.hint and (tree.holds and node.name not in SECTIONS or node.name == "form" and (tree.holds or 2 * tree.size > whole)):
+            tree.hint = False
     return trees[0][0]
 
 
@@ -239,33 +273,38 @@ def _run(call: Generator) -> object:
     return value
 
 
-def _weight(slot: Slot, tree: Tree, known: dict[tuple[int, int], int]) -> Generator:
-    """Size of the simple tree matching between a frame's node and an element."""
+def _alike(slot: Slot, tree: Tree) -> float:
+    """What a run of text adds to a matching: more if the slot has had that text, or texts of like length."""
+    return 1.0 + (_hash(tree.text) in slot.texts) + 0.5 * (0.25 <= (tree.size + 1) / (slot.size + 1) <= 4)
+
+
+def _weight(slot: Slot, tree: Tree, known: dict[tuple[int, int], float]) -> Generator:
+    """Weight of the simple tree matching between a frame's node and an element."""
     at = id(slot), id(tree)
     if at not in known:
-        total = 1
+        total = _alike(slot, tree) if tree.run is not None else 1.0
         for i, j in (yield _match(slot.children, tree.groups, known)):
             total += yield _weight(slot.children[i], tree.groups[j][1][0], known)
         known[at] = total
     return known[at]
 
 
-def match(slots: list[Slot], groups: list[tuple], known: dict[tuple[int, int], int]) -> list[tuple[int, int]]:
+def match(slots: list[Slot], groups: list[tuple], known: dict[tuple[int, int], float]) -> list[tuple[int, int]]:
     """Pairs of the heaviest order-keeping matching of equal keys; ``known`` keeps weights of one page."""
     return _run(_match(slots, groups, known))
 
 
-def _match(slots: list[Slot], groups: list[tuple], known: dict[tuple[int, int], int]) -> Generator:
-    if [s.key for s in slots] == [g[0] for g in groups]:
-        return [(i, i) for i in range(len(slots))]
+def _match(slots: list[Slot], groups: list[tuple], known: dict[tuple[int, int], float]) -> Generator:
     n, m = len(slots), len(groups)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
+    if n == m and len({s.key for s in slots}) == n and all(s.key == g[0] for s, g in zip(slots, groups, strict=True)):
+        return [(i, i) for i in range(n)]  # nothing to choose from
+    best = [[0.0] * (m + 1) for _ in range(n + 1)]
     own = {}
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
             best[i][j] = max(best[i + 1][j], best[i][j + 1])
             if slots[i].key == groups[j][0]:
-                own[i, j] = yield _weight(slots[i], groups[j][1][0], known)  # the first of like siblings
+                own[i, j] = yield _weight(slots[i], groups[j][1][0], known)  # the first of a repeated node
                 best[i][j] = max(best[i][j], own[i, j] + best[i + 1][j + 1])
     out, i, j = [], 0, 0
     while i < n and j < m:
@@ -279,9 +318,12 @@ def _match(slots: list[Slot], groups: list[tuple], known: dict[tuple[int, int],
     return out
 
 
-def _learn(slot: Slot, trees: list[Tree], known: dict[tuple[int, int], int]) -> Generator:
+def _learn(slot: Slot, trees: list[Tree], known: dict[tuple[int, int], float]) -> Generator:
     """Align like siblings of one page with a frame's node, and widen it by what it lacks."""
     for tree in trees:
+        if tree.run is not None:
+            slot.size = (slot.size * len(slot.texts) + tree.size) / (len(slot.texts) + 1)
+            slot.texts.add(_hash(tree.text))
         pairs = yield _match(slot.children, tree.groups, known)
         at = {j: slot.children[i] for i, j in pairs}
         where = 0
@@ -305,31 +347,41 @@ def induce(pages: list[str | None]) -> Slot:
 
 
 def packed(frame: Slot) -> bytes:
-    """A frame as bytes: the key and the parent's number of each node."""
-    nodes, rows = [frame], [(0, frame.key)]
+    """A frame as bytes: the parent's number, key, texts and size of each node."""
+    nodes, rows = [frame], [(0, frame.key, (), 0.0)]
     for at, node in enumerate(nodes):  # grows
         nodes += node.children
-        rows += [(at, child.key) for child in node.children]
+        rows += [(at, child.key, sorted(child.texts), child.size) for child in node.children]
     return pickle.dumps(rows)
 
 
 def unpacked(data: bytes) -> Slot:
     rows = pickle.loads(data)
-    nodes = [Slot(key) for _, key in rows]
-    for (parent, _), node in zip(rows[1:], nodes[1:], strict=True):
-        nodes[parent].children.append(node)
+    nodes = [Slot(*row[1:]) for row in rows]
+    for row, node in zip(rows[1:], nodes[1:], strict=True):
+        nodes[row[0]].children.append(node)
     return nodes[0]
 
 
-def _has_main(top: Tree) -> bool:
-    todo = [top]
-    while todo:
-        for key, like in todo.pop().groups:
-            if not like[0].skip:
-                if key[0] in MAIN:
-                    return True
-                todo += like
-    return False
+def region_of(frame: Slot, masses: dict[int, float]) -> int:
+    """The slot of the main region, from the free text of the slots of runs; names only tip the scale."""
+    nodes = [(frame, 0, None)]
+    for node, own, _ in nodes:  # grows
+        nodes += [(child, _hash(own, i), own) for i, child in enumerate(node.children)]
+    total: dict[int, float] = {}
+    for node, own, above in reversed(nodes):
+        name, mark = node.key
+        hint = 2.0 if name in MAIN else 0.25 if name in SECTIONS or mark and marked(Node(name, mark)) else 1.0
+        total[own] = max(0.0, total.get(own, 0.0) + masses.get(own, 0.0)) * hint
+        if above is not None:
+            total[above] = total.get(above, 0.0) + total[own]
+    node, own = frame, 0
+    while True:
+        inner = [(total[_hash(own, i)], i) for i, child in enumerate(node.children) if any(c.key[0] != "#text" for c in child.children) and child.key[0] not in REPEATED]
+        most, i = max(inner, default=(0.0, -1))
+        if most <= 0 or most < MASS * sum(total[_hash(own, i)] for i in range(len(node.children))):
+            return own
+        node, own = node.children[i], _hash(own, i)
 
 
 def _hash(*parts: object) -> int:
@@ -337,24 +389,40 @@ def _hash(*parts: object) -> int:
     return int.from_bytes(blake2b(repr(parts).encode("utf-8", "backslashreplace"), digest_size=8).digest(), "little", signed=True) or 1
 
 
-def placed(page: str | None, frame: Slot | None, links: frozenset[int] = frozenset()) -> tuple[list[tuple[str, int, bool]], dict[int, list[int]]]:
-    """The texts of a page outside marked boilerplate, each with its slot and whether it lies in repeated nodes
-    that ``links`` names; and size and linked size of the nodes that may be repeated, by slot."""
-    top = grown(parse(page))
-    only_main = _has_main(top)
-    kept: list[tuple[str, int, bool]] = []
-    sizes: dict[int, list[int]] = {}
-    known: dict[tuple[int, int], int] = {}
-    todo = [(top, frame, 0, not only_main, False)]
+class Text(NamedTuple):
+    """A run of text of a page: its slot, and where it lies."""
+
+    text: str
+    slot: int
+    main: bool
+    region: bool
+    menu: bool
+    hint: bool
+    head: bool
+
+
+class Seen(NamedTuple):
+    """A slot of a page: letters, those inside links, whether it is a run of text, in the frame, and repeated."""
+
+    size: int
+    linked: int
+    leaf: bool
+    framed: bool
+    many: bool
+
+
+def placed(page: str | None, wrapper: Wrapper) -> tuple[list[Text], dict[int, Seen]]:
+    """The texts and the slots of a page, aligned with a frame."""
+    texts: list[Text] = []
+    slots: dict[int, Seen] = {}
+    known: dict[tuple[int, int], float] = {}
+    todo = [(grown(parse(page)), wrapper.frame, 0, False, wrapper.region == 0, False, False, False)]
     while todo:
-        tree, slot, name, inside, menu = todo.pop()
-        if tree.skip:
-            continue
+        tree, slot, name, main, region, menu, hint, head = todo.pop()
         if tree.run is not None:
-            if inside:
-                kept.append((tree.text, name, menu))
+            texts.append(Text(tree.text, name, main, region, menu, hint, head))
             continue
-        inside = inside or tree.key[0] in MAIN
+        main = main or tree.key[0] in MAIN and not hint
         pairs = {j: i for i, j in match(slot.children, tree.groups, known)} if slot else {}
         seen: dict[tuple[str, str], int] = {}
         below = []
@@ -365,23 +433,32 @@ def placed(page: str | None, frame: Slot | None, links: frozenset[int] = frozens
                 child, own = None, _hash(name, key, seen[key])
             else:
                 child, own = slot.children[i], _hash(name, i)
-            within = menu
-            if key[0] in ("li", "td", "div"):
-                total = sizes.setdefault(own, [0, 0])
-                total[0] += sum([t.size for t in like])
-                total[1] += sum([t.linked for t in like])
-                within = menu or len(like) > 1 and own in links
-            below += [(t, child, own, inside, within) for t in like]
+            old = slots.get(own, Seen(0, 0, key[0] == "#text", child is not None, False))
+            slots[own] = Seen(old.size + sum([t.size for t in like]), old.linked + sum([t.linked for t in like]), old.leaf, old.framed, old.many or len(like) > 1)
+            inside, links = region or own == wrapper.region, menu or own in wrapper.menus
+            for t in like:
+                marks = t.hint and not (key[0] == "header" and (main or inside))
+                below.append((t, child, own, main, inside, links, hint or marks, head or key[0] == "h1"))
         todo += reversed(below)
-    return kept, sizes
+    return texts, slots
 
 
 def extract(page: str | None, wrapper: Wrapper | None) -> str:
-    """Main text of a page by its host's wrapper: one line a block."""
+    """Main text of a page by its host's wrapper, or by names and classes alone: one line a block."""
     wrapper = wrapper or Wrapper(None)
-    kept, _ = placed(page, wrapper.frame, wrapper.menus)
-    slots = [text for text, slot, menu in kept if not menu and (not wrapper.fixed or _hash(slot, text) not in wrapper.fixed)]
-    return "\n".join(slots or [text for text, _, _ in kept])
+    texts, _ = placed(page, wrapper)
+    free = lambda t: not t.menu and (not wrapper.fixed or _hash(t.slot, t.text) not in wrapper.fixed)
+    shown = [t for t in texts if not t.hint]
+    pool = [t for t in shown if t.region]
+    if pool:
+        if any(t.main for t in pool) and not all(t.main for t in pool):
+            pool = [t for t in pool if t.main]
+        if not any(t.head for t in pool):
+            first = next(i for i, t in enumerate(shown) if t is pool[0])
+            pool = [t for t in shown[:first] if t.head and free(t)] + pool
+    else:
+        pool = [t for t in shown if t.main] or shown
+    return "\n".join(t.text for t in [t for t in pool if free(t)] or pool)
 
 
 def _inducer() -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
@@ -411,23 +488,24 @@ def _known(shipped: object | None, batches: Iterator[pd.DataFrame]) -> Iterator[
         out = []
         for i, host in enumerate(batch["host"]):
             if host not in known:
-                if len(known) > 10_000:
+                if len(known) > 1000:
                     known.clear()
-                frame, fixed, menus = shipped.value[host] if shipped is not None else [batch[c].iloc[i] for c in ("frame", "fixed", "menus")]
-                known[host] = Wrapper(unpacked(frame), fixed, menus)
+                frame, fixed, menus, region = shipped.value[host] if shipped is not None else [batch[c].iloc[i] for c in ("frame", "fixed", "menus", "region")]
+                known[host] = Wrapper(unpacked(frame), fixed, menus, None if pd.isna(region) else int(region))
             out.append(known[host])
         yield batch, out
 
 
 def _gatherer(shipped: object | None) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["host", "slot", "text", "place", "size", "linked"]
+        names = ["host", "slot", "text", "place", "size", "linked", "leaf", "framed", "many"]
         for batch, wrappers in _known(shipped, batches):
             rows = []
             for host, place, page, wrapper in zip(batch["host"], batch["place"], batch["html"], wrappers, strict=True):
-                kept, sizes = placed(page, wrapper.frame)
-                rows += [(host, slot, 0, place, *sizes.get(slot, (0, 0))) for slot in sizes.keys() | {slot for _, slot, _ in kept}]
-                rows += [(host, slot, _hash(slot, text), place, 0, 0) for text, slot in {(text, slot) for text, slot, _ in kept}]
+                texts, slots = placed(page, wrapper)
+                rows.append((host, 0, 0, place, 0, 0, False, True, False))
+                rows += [(host, slot, 0, place, *seen) for slot, seen in slots.items()]
+                rows += [(host, slot, _hash(slot, text), place, len(text), 0, True, slots[slot].framed if slot in slots else False, False) for slot, text in {(t.slot, t.text) for t in texts}]
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=names)
                     rows = []
@@ -447,35 +525,49 @@ def _extractor(shipped: object | None) -> Callable[[Iterator[pd.DataFrame]], Ite
 
 
 def _ship(pages: DataFrame, wrappers: DataFrame) -> tuple[object | None, DataFrame]:
-    """Wrappers (host, frame, fixed, menus) as a broadcast if they are small, else joined to the pages."""
+    """Wrappers (host, frame, fixed, menus, region) as a broadcast if they are small, else joined to the pages."""
     size = F.length("frame") + F.length("host") + 8 * (F.size("fixed") + F.size("menus"))
     if wrappers.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] > BROADCAST_BYTES:
-        return None, pages.join(wrappers, "host")
-    found = {r.host: (bytes(r.frame), list(r.fixed), list(r.menus)) for r in wrappers.toLocalIterator()}
+        return None, salted(pages, wrappers, "host", "place", SPREAD)
+    found = {r.host: (bytes(r.frame), list(r.fixed), list(r.menus), r.region) for r in wrappers.toLocalIterator()}
     return pages.sparkSession.sparkContext.broadcast(found), pages
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, frame, fixed, menus of pages (host, place, html): frames, and what all distinct pages have in their slots."""
+    """host, frame, fixed, menus, region of pages (host, place, html): frames, and what all distinct pages have in their slots."""
     none = F.array().cast("array<long>")
     framed = written(frames(pages), "frames")
-    shipped, hosted = _ship(pages, framed.select("host", "frame", none.alias("fixed"), none.alias("menus")))
-    found = hosted.mapInPandas(_gatherer(shipped), "host string, slot long, text long, place long, size long, linked long")
-    each = found.groupBy("host", "slot", "text", "place").agg(F.max("size").alias("size"), F.max("linked").alias("linked"))
-    counts = each.groupBy("host", "slot", "text").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("linked").alias("linked"))
-    menu = (F.col("text") == 0) & (F.col("linked") > 0.6 * F.col("size"))
-    counts = written(counts.where(menu | (F.col("n") >= SUPPORT)), "counts")
-    whole = small(counts.where(F.col("text") == 0).select("host", "slot", F.col("n").alias("pages")))
-    fixed = counts.where(F.col("text") != 0).join(whole, ["host", "slot"]).where(10 * F.col("n") >= 9 * F.col("pages"))
+    shipped, hosted = _ship(pages, framed.select("host", "frame", none.alias("fixed"), none.alias("menus"), F.lit(None).cast("long").alias("region")))
+    found = hosted.mapInPandas(_gatherer(shipped), "host string, slot long, text long, place long, size long, linked long, leaf boolean, framed boolean, many boolean")
+    flags = [F.max(c).alias(c) for c in ("leaf", "framed", "many")]
+    each = found.groupBy("host", "slot", "text", "place").agg(F.max("size").alias("size"), F.max("linked").alias("linked"), *flags)
+    counts = each.groupBy("host", "slot", "text").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.sum("linked").alias("linked"), *flags)
+    counts = written(counts.where((F.col("text") == 0) | (F.col("n") >= SUPPORT)), "counts")
+    whole = counts.where("text = 0")
+    menu = whole.where((F.col("linked") > 0.6 * F.col("size")) & ~F.col("leaf") & (F.col("many") | (F.col("n") >= SUPPORT)))
+    fixed = counts.where("text <> 0").join(whole.select("host", "slot", F.col("n").alias("pages")), ["host", "slot"]).where(10 * F.col("n") >= 9 * F.col("pages"))
+    fixed = written(fixed.select("host", "slot", "text", "size", "framed"), "fixed")
     marks = fixed.select("host", F.col("text").alias("fixed"), F.lit(None).cast("long").alias("menu")).unionByName(
-        counts.where(menu).select("host", F.lit(None).cast("long").alias("fixed"), F.col("slot").alias("menu"))
+        menu.select("host", F.lit(None).cast("long").alias("fixed"), F.col("slot").alias("menu"))
     )
     marks = marks.groupBy("host").agg(F.collect_set("fixed").alias("fixed"), F.collect_set("menu").alias("menus"))
-    return framed.join(marks, "host", "left").select("host", "frame", F.coalesce("fixed", none).alias("fixed"), F.coalesce("menus", none).alias("menus"))
+    # Free text of the frame's slots: as many as the frame has, so a host's list is bounded.
+    free = whole.where("leaf and framed").select("host", "slot", (F.col("size") - F.col("linked")).alias("free")).unionByName(fixed.where("framed").select("host", "slot", (-F.col("size")).alias("free")))
+    free = free.groupBy("host", "slot").agg(F.sum("free").alias("free")).groupBy("host").agg(F.collect_list("slot").alias("slots"), F.collect_list("free").alias("free"))
+    decided = whole.where((F.col("slot") == 0) & (F.col("n") >= SUPPORT)).select("host")
+
+    @F.pandas_udf("long")
+    def region(frame: pd.Series, slots: pd.Series, free: pd.Series) -> pd.Series:
+        return pd.Series([region_of(unpacked(f), dict(zip(s, m, strict=True))) for f, s, m in zip(frame, slots, free, strict=True)], dtype="int64")
+
+    regions = framed.join(free, "host").join(decided, "host", "left_semi").select("host", region("frame", "slots", "free").alias("region"))
+    out = framed.join(marks, "host", "left").join(regions, "host", "left")
+    return out.select("host", "frame", F.coalesce("fixed", none).alias("fixed"), F.coalesce("menus", none).alias("menus"), "region")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every page (page_id, url, html)."""
+    starts(pages.sparkSession)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of().alias("host"), F.xxhash64("html").alias("place"))
     shipped, hosted = _ship(pages, written(wrappers(pages), "wrappers"))
     return hosted.mapInPandas(_extractor(shipped), "page_id long, url string, text string, n_chars long")
