@@ -84,7 +84,7 @@ def profiles(claims: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """One canonical profile an entity, with id_tier and the map field_confidence beside it; of ``entities``
     (entity_key), those without claims have an empty one."""
     if entities is not None:  # a claim of no path and no value stands for the entity
-        values = {"path": "", "source": "", "method": "", "fuzzy": False, "file_seq": 0, "claim_seq": 0}
+        values = {"path": "", "source": "", "method": "", "fuzzy": False, "file_seq": "", "claim_seq": 0}
         marks = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in claims.schema.fields if f.name != "entity_key"]
         claims = claims.unionByName(entities.select("entity_key", *marks))
     path, points = F.col("path"), F.col("points")

@@ -35,10 +35,14 @@ def _register(sql: str | None = None) -> Callable:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from claimweave.plans import catalog_files  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from claimweave.plans import catalog_files  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -46,13 +50,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _claims(df: DataFrame, path: str, v: Column | None = None, exp: Column | None = None) -> DataFrame:
+def _claims(df: DataFrame, path: str, v: Column | None = None, exp: Column | None = None, edu: Column | None = None) -> DataFrame:
     """Claims of rows (o_custkey, o_orderkey, ...): the source goes round with the order's key."""
     source = F.element_at(F.array(*map(F.lit, SOURCES)), (F.pmod("o_orderkey", F.lit(5)) + 1).cast("int"))
     none = F.lit(None)
     return df.select(
-        F.col("o_custkey").cast("string").alias("entity_key"), F.lit(0).alias("file_seq"), F.col("o_orderkey").cast("int").alias("claim_seq"), F.lit(path).alias("path"),
-        (none if v is None else v).cast("string").alias("v"), (none if exp is None else exp).cast(schema.EXPERIENCE).alias("exp"), none.cast(schema.EDUCATION).alias("edu"),
+        F.col("o_custkey").cast("string").alias("entity_key"), F.lit("orders").alias("file_seq"), F.col("o_orderkey").cast("int").alias("claim_seq"), F.lit(path).alias("path"),
+        (none if v is None else v).cast("string").alias("v"), (none if exp is None else exp).cast(schema.EXPERIENCE).alias("exp"), (none if edu is None else edu).cast(schema.EDUCATION).alias("edu"),
         source.alias("source"), text.mapped(METHODS, source).alias("method"), F.lit(False).alias("fuzzy"),
     )
 
@@ -291,8 +295,9 @@ SELECT conv_id, turn, last_value(header IGNORE NULLS) OVER (PARTITION BY conv_id
 def section_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines take the section of the header above them."""
     line = F.when(F.col("turn") % 3 == 0, F.when(F.col("role") == "user", " Tech Stack: ").when(F.col("role") == "assistant", "EDUCATION")).otherwise(F.lit("some other line"))
-    lines = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("entity_key"), F.lit(0).alias("file_seq"), F.col("turn").alias("line_no"), F.coalesce(line, F.lit("-")).alias("line"))
-    return files.sectioned(lines).select(F.col("entity_key").alias("conv_id"), F.col("line_no").alias("turn"), "section")
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce(line, F.lit("-")).alias("line")))).alias("turns"))
+    placed = F.zip_with("turns", files.sections(F.transform("turns", lambda t: t["line"])), lambda t, s: F.struct(t["turn"].alias("turn"), s["section"].alias("section")))
+    return turns.select("conv_id", F.inline(placed))
 
 
 _TRUSTS = ", ".join(f"('{s}', {t})" for s, t in [*schema.TRUST.items(), ("elsewhere", schema.UNKNOWN_TRUST)])
@@ -364,35 +369,3 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id") % 4
     said = F.when(k == 0, "ats_json: invalid JSON in a.json").when(k == 1, "projection: required field is missing").when(k == 2, "ats_json: ignored unmapped fields").otherwise("recruiter_csv: Empty file b.csv")
     return runner.classified(_table(spark, sf_dir, "events").select(said.alias("warning"))).groupBy("stage", "severity", "hard_skip").agg(F.count("*").alias("n"))
-
-
-_COUNTRIES = (("USA", "US", False), ("DE", "DE", False), ("nld", "NL", False), ("The Netherlands", "NL", True), ("Atlantis", None, False), (" u.k. ", "GB", False), ("France", "FR", False), ("", None, False))
-
-
-@_register("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {f"'{b}'" if b else 'NULL'}, {str(c).lower()})" for a, b, c in _COUNTRIES) + ") v(raw, country, fuzzy)")
-def country_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F4."""
-    rows = spark.createDataFrame([(c[0],) for c in _COUNTRIES], "raw string")
-    return rows.select("raw", places.country(F.col("raw")).alias("c")).select("raw", F.col("c.value").alias("country"), F.col("c.fuzzy").alias("fuzzy"))
-
-
-_PHONES = (("+1 (415) 555-2671", "", "+14155552671"), ("(415) 555-2671", "US", "+14155552671"), ("415 555 2671", "", None), ("not a phone", "US", None), ("2024-02-11", "US", None), ("+31 20 624 1111", "", "+31206241111"), ("+39 06 1234 5678", "", "+390612345678"), ("020 624 1111", "NL", "+31206241111"))
-
-
-@_register("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', {f"'{c}'" if c else 'NULL'})" for a, b, c in _PHONES) + ") v(raw, region, phone)")
-def phone_e164(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F2."""
-    rows = spark.createDataFrame([p[:2] for p in _PHONES], "raw string, region string")
-    return rows.select("raw", "region", places.phone(F.col("raw"), F.nullif(F.col("region"), F.lit(""))).alias("phone"))
-
-
-@_register()
-def sources_read(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of files of every kind, one entity a customer, as text made from its row."""
-    k = F.col("c_custkey")
-    notes = F.concat(F.lit("~9 years experience. Proficient in js, Go and kafka. Mail c"), k.cast("string"), F.lit("@x.org"))
-    ats = F.to_json(F.struct(F.col("c_name").alias("fullName"), F.lit("Germany").alias("locationCountry"), F.array(F.lit("py"), F.lit("sql")).alias("skillSet"), F.col("c_acctbal").alias("rating")))
-    csv = F.concat(F.lit("Name,E-mail,Company,Title\n"), F.col("c_name"), F.lit(",c"), k.cast("string"), F.lit("@x.org,\"Acme, Inc\",Engineer\n"))
-    each = F.array(*(F.struct(F.lit(i).alias("file_seq"), F.lit(n).alias("file"), c.cast("binary").alias("content")) for i, (n, c) in enumerate((("ats.json", ats), ("notes.txt", notes), ("r.csv", csv)), 1)))
-    rows = _table(spark, sf_dir, "customer").select(k.cast("string").alias("entity_key"), F.inline(each))
-    return files.extract(rows)[0].select("entity_key", "path", "v", F.to_json("exp").alias("exp"), "source", "method")

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 EXPERIENCE = "struct<company: string, title: string, start: string, end: string, summary: string>"
 EDUCATION = "struct<institution: string, degree: string, field: string, end_year: int>"
-#: One row per extracted value: (file_seq, claim_seq) is its place in the input, which settles ties.
-CLAIMS = f"entity_key string, file_seq int, claim_seq int, path string, v string, exp {EXPERIENCE}, edu {EDUCATION}, source string, method string, fuzzy boolean"
-WARNINGS = "entity_key string, file_seq int, file string, warning string"
+#: One row per extracted value: (file_seq, claim_seq) is its place in the input, which settles ties; file_seq is the name of its file.
+CLAIMS = f"entity_key string, file_seq string, claim_seq int, path string, v string, exp {EXPERIENCE}, edu {EDUCATION}, source string, method string, fuzzy boolean"
+WARNINGS = "entity_key string, file_seq string, file string, warning string"
 
 # Fixed values of the domain: trust of sources and of unknown ones, in ten-thousandths.
 TRUST = {"ats_json": 9000, "recruiter_csv": 8500, "resume": 6000, "github": 5000, "recruiter_notes": 3500}
