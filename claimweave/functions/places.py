@@ -28,8 +28,21 @@ PHONE_PLANS = (
 )
 
 
+# Fixed values (ITU E.164): calling codes of two digits. 1 and 7 stand alone; other codes have three digits, and those of 210, 28, 83, 89 and 99 are not assigned.
+TWO_DIGIT_CODES = "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98"
+
+
+def foreign_number() -> str:
+    """Pattern of a number with a calling code that no plan here has: a code that may be assigned, and eight to fifteen digits in all."""
+    known = {code for _, code, _, _ in PHONE_PLANS}
+    all_two = TWO_DIGIT_CODES.split()
+    two, taken = [c for c in all_two if c not in known], [*all_two, *(c for c in known if len(c) == 3), "210", "28", "83", "89", "99"]
+    return rf"7[3-9]\d{{9}}|(?:{'|'.join(two)})[1-9]\d{{5,12}}|(?!{'|'.join(sorted(taken))})[2-9]\d\d[1-9]\d{{4,11}}"
+
+
 def phone(x: Column, region: Column) -> Column:
-    """E.164 form of a number that fits the plan of its calling code, or, without one, that of the region; else null."""
+    """E.164 form of a number that fits the plan of its calling code, or, without one, that of the region; else null.
+    Numbers of calling codes without a plan here are checked for the code and the length alone."""
 
     def parts(text: Column) -> Column:
         return F.struct(
@@ -39,7 +52,8 @@ def phone(x: Column, region: Column) -> Column:
         )
 
     def planned(p: Column) -> Column:
-        digits, out = p["digits"], F.lit(None).cast("string")
+        digits = p["digits"]
+        out = F.when(p["full"] & digits.rlike(f"^({foreign_number()})$"), F.concat(F.lit("+"), digits))
         for where, code, trunk, pattern in reversed(PHONE_PLANS):
             foreign = F.substring(digits, len(code) + 1, 20)
             home = F.regexp_replace(digits, f"^{trunk}(?=({pattern})$)", "") if trunk else digits

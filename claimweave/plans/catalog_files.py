@@ -297,3 +297,85 @@ def sources_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = _table(spark, sf_dir, "customer").where(_K % 4 != 3).select(_text("u", _K).alias("login"), _SNAP.alias("text"))
     named = {"ats.json": _ATS, "r.csv": _CSV, "github.json": F.when(_K % 4 == 0, _SNAP), "gh.me.url": F.when(_K % 4 != 0, _text("  https://g.example/u", _K, "/ \nmore")), "notes.txt": _NOTES, "resume.txt": _RESUME}
     return _shown(files.extract(_files(spark, sf_dir, named), cache)[0])
+
+
+_LOW, _WON, _VALUES = catalog._LOW, catalog._HEAD_WON, catalog._VALUES
+_WRONG = "'projection: output failed schema validation: ''{0}'' is not of type ''{1}'''"
+_POINTS = catalog._points_sql("trust", "n - 1", "fuzzy") + " / 10000.0::DOUBLE"
+#: A number as JSON writes it.
+_NUMBER_SQL = "trim(trailing '.' FROM trim(trailing '0' FROM printf('%.4f', {0})))"
+
+catalog._SQL["schema_validate"] = f"WITH {_LOW} SELECT entity_key, CASE WHEN hh.entity_key IS NULL THEN '' ELSE {_WRONG.format('headline', 'number')} END AS errors FROM e LEFT JOIN hh USING (entity_key)"
+catalog._SQL["profile_json"] = f"""WITH {_LOW}, {_WON}, {_VALUES},
+h AS (SELECT entity_key, v, {_POINTS} AS c FROM won JOIN agreed USING (entity_key)), p AS (SELECT entity_key, v, sources, {_POINTS} AS c FROM g),
+sk AS (SELECT entity_key, list_reduce(list(c ORDER BY v), lambda a, b: a + b) / count(*) AS m, string_agg('{{"name":"' || v || '","confidence":' || {_NUMBER_SQL.format("c")} || ',"sources":["' || replace(sources, ',', '","') || '"],"verified_in_code":'
+  || contains(sources, 'github')::VARCHAR || '}}', ',' ORDER BY v) AS j FROM p GROUP BY entity_key),
+s AS (SELECT entity_key, j, {catalog._round4_sql("m")} AS c FROM sk),
+pr AS (SELECT entity_key, string_agg('{{"field":"' || field || '","source":"' || source || '","method":"' || method || '"}}', ',' ORDER BY field, source, method) AS j
+  FROM (SELECT entity_key, 'headline' AS field, source, {catalog._METHOD_SQL} AS method FROM won UNION SELECT entity_key, 'skills', source, {catalog._METHOD_SQL} FROM t) GROUP BY entity_key),
+o AS (SELECT e.entity_key, h.v AS headline, s.j AS skills, CASE WHEN h.c IS NULL THEN s.c WHEN s.c IS NULL THEN h.c ELSE (h.c + s.c) / 2.0::DOUBLE END AS m FROM e LEFT JOIN h USING (entity_key) LEFT JOIN s USING (entity_key)),
+r AS (SELECT *, {catalog._round4_sql("m")} AS overall FROM o)
+SELECT entity_key, '{{"candidate_id":"cand_' || substr(sha1('source|' || entity_key), 1, 12) || '","full_name":null,"emails":[],"phones":[],"location":{{"city":null,"region":null,"country":null}},"links":{{"linkedin":null,"github":null,"portfolio":null,"other":[]}},"headline":'
+  || coalesce('"' || headline || '"', 'null') || ',"years_experience":null,"skills":[' || coalesce(skills, '') || '],"experience":[],"education":[],"overall_confidence":' || {_NUMBER_SQL.format("overall")} || ',"provenance":[' || pr.j || ']}}' AS json FROM r JOIN pr USING (entity_key)"""
+catalog._SQL["phone_valid"] = f"""WITH x AS (SELECT doc_id, trim(unnest(list_distinct(regexp_extract_all(text, '{files.PHONE}', 1)))) AS phone FROM documents),
+d AS (SELECT *, regexp_replace(phone, '[^0-9]', '', 'g') AS digits, starts_with(phone, '+') AS whole FROM x)
+SELECT doc_id, phone, '+1' || right(digits, 10) AS e164 FROM d WHERE regexp_matches(digits, CASE WHEN whole THEN '^1[2-9][0-9]{{2}}[2-9][0-9]{{6}}$' ELSE '^1?[2-9][0-9]{{2}}[2-9][0-9]{{6}}$' END)"""
+
+
+@_register("""WITH w AS (SELECT event_id, 'user ' || user_id AS name, CASE event_id % 3 WHEN 0 THEN 'github: bad fixture /data/' || user_id || '/github.json (line ' || event_id || ')' WHEN 1 THEN 'projection: required field is missing' ELSE 'pipeline' END AS warning FROM events)
+SELECT name, warning, CASE WHEN warning LIKE 'github%' THEN 'warning' ELSE 'error' END || ': ' || name || ': ' || CASE event_id % 3 WHEN 0 THEN 'github: bad fixture github.json (line ' || event_id || ')' WHEN 1 THEN warning ELSE 'pipeline: pipeline' END AS line FROM w""")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line for each warning, with the paths in it shortened to file names."""
+    k = F.col("event_id") % 3
+    said = F.when(k == 0, _text("github: bad fixture /data/", F.col("user_id"), "/github.json (line ", F.col("event_id"), ")")).when(k == 1, "projection: required field is missing").otherwise("pipeline")
+    return runner.lines(_table(spark, sf_dir, "events").select(_text("user ", F.col("user_id")).alias("name"), said.alias("warning")))
+
+
+@_register(f"""WITH {_LOW}, w AS (SELECT count(*) FILTER (WHERE event_id % 4 IN (0, 3)) AS skipped FROM events)
+SELECT count(hh.entity_key) AS processed, any_value(skipped)::BIGINT AS sources_skipped, count(*) - count(hh.entity_key) AS crashes, (count(*) > count(hh.entity_key))::INTEGER AS code FROM w, e LEFT JOIN hh USING (entity_key)""")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a batch comes to; entities that lack a required field fail alone, and make the exit code 1."""
+    k = F.col("event_id") % 4
+    said = F.when(k == 0, "ats_json: invalid JSON in a.json").when(k == 1, "projection: required field is missing").when(k == 2, "ats_json: ignored unmapped fields").otherwise("recruiter_csv: Empty file b.csv")
+    config = projecting.parse_config({"fields": [{"path": "headline", "type": "string", "required": True}]})
+    results = projecting.project(catalog._profile(spark, sf_dir), config)
+    counts = runner.summary(results, _table(spark, sf_dir, "events").select(said.alias("warning")))
+    return counts.withColumn("code", (F.col("crashes") > 0).cast("int"))
+
+
+_TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier".split()
+
+
+@_register("SELECT file, row_number() OVER (ORDER BY file) AS place, 'skipped unrecognized file ' || file AS said FROM (VALUES " + ", ".join(f"('{t}.parquet')" for t in _TABLES) + ") f(file)")
+def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a folder are one entity, in the order of their names; here the folder of the tables itself."""
+    found = files.discover(spark, [sf_dir]).select("file", "file_seq", files.detect(F.col("file")).alias("source"))
+    found = found.groupBy().agg(F.array_sort(F.collect_list(F.struct("file_seq", "file", "source"))).alias("every"))  # the files of one entity
+    found = found.select(F.posexplode("every").alias("at", "f"))
+    return found.select("f.file", (F.col("at") + 1).cast("long").alias("place"), F.when(F.col("f.source").isNull(), F.concat(F.lit("skipped unrecognized file "), "f.file")).alias("said"))
+
+
+_MIXED = {"fields": [
+    {"path": "z.total", "from": "years_experience", "type": "integer"}, {"path": "list", "from": "skills", "type": "string[]"}, {"path": "b", "from": "headline", "type": "boolean", "on_missing": "omit"}, {"path": "a", "from": "emails", "type": "object"},
+    {"path": "none", "from": "experience", "type": "string[]"}, {"path": "any", "from": "headline"},
+], "on_missing": "null"}
+
+
+@_register(f"""WITH {_LOW} SELECT entity_key, array_to_string(list_filter([{_WRONG.format("a", "object")}, CASE WHEN hh.entity_key IS NOT NULL THEN {_WRONG.format("b", "boolean")} END, CASE WHEN n.entity_key IS NOT NULL THEN {_WRONG.format("list", "string[]")} END],
+lambda x: x IS NOT NULL), '; ') AS errors FROM e LEFT JOIN hh USING (entity_key) LEFT JOIN n USING (entity_key)""")
+def validate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each value against its declared type, errors by path; an empty list is a list of anything."""
+    return projecting.project(catalog._profile(spark, sf_dir), projecting.parse_config(_MIXED)).select("entity_key", F.array_join("errors", "; ").alias("errors"))
+
+
+@_register(f"""WITH {catalog._HEAD}, {_WON} SELECT won.entity_key, c_name AS full_name, won.v AS headline, CASE WHEN c_custkey % 2 = 0 THEN 'c' || c_custkey || '@x.org' END AS email, 'US' AS country, 'cand_' || substr(sha1(CASE WHEN c_custkey % 2 = 0 THEN 'email|c' || c_custkey || '@x.org'
+ELSE 'name+source|' || lower(c_name) || '|' || won.entity_key END), 1, 12) AS candidate_id, CASE WHEN c_custkey % 2 = 0 THEN 'email' ELSE 'name+source' END AS id_tier FROM won JOIN customer ON c_custkey::VARCHAR = won.entity_key""")
+def whole_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw claims of several paths, normalized and merged into one record an entity."""
+    orders, customers = catalog._headlines(spark, sf_dir), _table(spark, sf_dir, "customer")
+    own = F.array(*(F.struct(F.lit(i).alias("claim_seq"), F.lit(p).alias("path"), v.alias("v")) for i, (p, v) in enumerate((("full_name", F.upper("c_name")), ("emails", F.when(_K % 2 == 0, _text("C", _K, "@X.org"))), ("location.country", F.lit("usa"))))))
+    more = customers.select(_K.cast("string").alias("entity_key"), F.inline(own)).join(orders.select("entity_key").distinct(), "entity_key", "left_semi")
+    none = F.lit(None)
+    more = more.select("entity_key", F.lit("r.csv").alias("file_seq"), "claim_seq", "path", "v", none.cast(schema.EXPERIENCE).alias("exp"), none.cast(schema.EDUCATION).alias("edu"), F.lit("recruiter_csv").alias("source"), F.lit("direct").alias("method"), F.lit(False).alias("fuzzy"))
+    found = fuse.profiles(normalize(orders.unionByName(more)))
+    return found.select("entity_key", "full_name", "headline", F.get("emails", F.lit(0)).alias("email"), "location.country", "candidate_id", "id_tier")

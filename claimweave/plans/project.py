@@ -180,13 +180,20 @@ def build_schema(config: Config) -> dict:
     return ordered(root)
 
 
-def fits(kind: T.DataType, declared: str) -> bool:
-    """Whether values of a column type can have the declared type; unknown types allow anything."""
+def violates(value: Column, kind: T.DataType, declared: str) -> Column | None:
+    """The condition under which a value of a column type is not of the declared type; null: never. Unknown types allow anything."""
+    if declared not in TYPES or declared == "any" or kind == T.NullType():
+        return None
+    if declared.endswith("[]"):
+        if not isinstance(kind, T.ArrayType):
+            return F.lit(True)
+        inner = isinstance(kind.elementType, T.StructType) if declared == "object[]" else kind.elementType == T.StringType()
+        return None if inner else F.size(value) > 0  # an empty list is a list of anything
     if declared == "object":
-        return isinstance(kind, (T.StructType, T.MapType))
-    if declared == "object[]":
-        return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
-    return declared not in FITS or kind.simpleString() in FITS[declared] or kind == T.NullType()
+        return None if isinstance(kind, (T.StructType, T.MapType)) else F.lit(True)
+    if declared == "integer" and isinstance(kind, (T.DoubleType, T.FloatType)):
+        return value != F.floor(value)  # whole numbers are integers, however they are held
+    return None if kind.simpleString() in FITS[declared] else F.lit(True)
 
 
 @dataclass
@@ -199,7 +206,7 @@ class Compiled:
 
 def compile_config(df: DataFrame, config: Config) -> Compiled:
     names = (set() if config.include_confidence else {"confidence"}) | (set() if config.include_provenance else {"sources"})
-    fields, errors = [], []
+    fields, errors, wrong = [], [], []
     for spec in config.fields:
         value, kind = resolve(df, spec.source or spec.path)
         policy = spec.policy(config.on_missing)
@@ -211,8 +218,9 @@ def compile_config(df: DataFrame, config: Config) -> Compiled:
         missing = value.isNull() | (value == "") if kind == T.StringType() else value.isNull()
         if policy == "error":
             errors.append(F.when(missing, F.lit(f"projection: required field {spec.path!r} is missing")))
-        if not fits(kind, spec.type):
-            errors.append(F.when(~missing, F.lit(f"projection: output failed schema validation: {spec.path!r} is not of type {spec.type!r}")))
+        bad = violates(value, kind, spec.type)
+        if bad is not None:
+            wrong.append((spec.path, F.when(~missing & bad, F.lit(f"projection: output failed schema validation: {spec.path!r} is not of type {spec.type!r}"))))
         if kind == T.StringType():
             value = F.nullif(value, F.lit(""))
         fields.append((spec.path, value, missing if policy == "omit" else F.lit(False)))
@@ -220,6 +228,7 @@ def compile_config(df: DataFrame, config: Config) -> Compiled:
         fields.append(("overall_confidence", F.col("overall_confidence"), F.lit(False)))
     if config.include_provenance:
         fields.append(("provenance", F.col("provenance"), F.lit(False)))
+    errors += [e for _, e in sorted(wrong, key=lambda w: w[0].split("."))]  # what is missing first, then what is wrong, by path
     return Compiled(fields, F.filter(F.array(*errors), lambda e: e.isNotNull()) if errors else F.array().cast("array<string>"))
 
 
