@@ -22,7 +22,8 @@ from claimweave.plans import runner
 from claimweave.plans.catalog import _register, _table
 from claimweave.sources import files
 
-_K = F.col("c_custkey")
+def _k() -> Column:
+    return F.col("c_custkey")
 
 
 def _text(*parts: Column | str) -> Column:
@@ -32,7 +33,7 @@ def _text(*parts: Column | str) -> Column:
 def _files(spark: SparkSession, sf_dir: str, named: dict[str, Column]) -> DataFrame:
     """Files (entity_key, file_seq, file, content) of every customer, by name; null: the customer has no such file."""
     each = F.array(*(F.struct(F.lit(n).alias("file_seq"), F.lit(n).alias("file"), c.cast("binary").alias("content")) for n, c in sorted(named.items())))
-    rows = _table(spark, sf_dir, "customer").select(_K.cast("string").alias("entity_key"), F.inline(each))
+    rows = _table(spark, sf_dir, "customer").select(_k().cast("string").alias("entity_key"), F.inline(each))
     return rows.where("content is not null")
 
 
@@ -57,11 +58,13 @@ def _claim_sql(source: str, rows: list[tuple[str, str, str]], where: str = "true
 
 _C = "WITH c AS (SELECT c_custkey AS k, c_name AS name, c_acctbal AS balance FROM customer)"
 
-_ATS = _text(
-    '{"', F.when(_K % 2 == 0, "fullName").otherwise("candidateName"), '":"', F.col("c_name"), '","emailAddress":["c', _K, '@x.org","","d', _K, '@x.org"],"mobile":', F.when(_K % 3 == 0, '""').otherwise('"(415) 555-2671"'),
-    ',"yearsOfExperience":', _K % 40, ',"zeta":1,"skillSet":["py"," sql ",7,"  "],"workHistory":[{"employer":"Acme ', _K % 5, '","company":"","role":"Engineer","startDate":"2019-0', _K % 9 + 1, '","endDate":"Present","office":"x"},{"role":null},{}],',
-    '"schools":[{"school":"MIT","degree":"BS","fieldOfStudy":"CS","gradYear":', 2000 + _K % 20, '}],"summary":null,"rating":[],"locationCountry":"Germany"}',
-)
+def _ats() -> Column:
+    return _text(
+        '{"', F.when(_k() % 2 == 0, "fullName").otherwise("candidateName"), '":"', F.col("c_name"), '","emailAddress":["c', _k(), '@x.org","","d', _k(), '@x.org"],"mobile":', F.when(_k() % 3 == 0, '""').otherwise('"(415) 555-2671"'),
+        ',"yearsOfExperience":', _k() % 40, ',"zeta":1,"skillSet":["py"," sql ",7,"  "],"workHistory":[{"employer":"Acme ', _k() % 5, '","company":"","role":"Engineer","startDate":"2019-0', _k() % 9 + 1, '","endDate":"Present","office":"x"},{"role":null},{}],',
+        '"schools":[{"school":"MIT","degree":"BS","fieldOfStudy":"CS","gradYear":', 2000 + _k() % 20, '}],"summary":null,"rating":[],"locationCountry":"Germany"}',
+    )
+
 _ATS_SQL = " UNION ALL ".join((
     _claim_sql("ats_json", [("0", "full_name:mapped", "name"), ("1000", "emails:mapped", "'c' || k || '@x.org'"), ("1002", "emails:mapped", "'d' || k || '@x.org'"), ("3000", "years_experience:mapped", "(k % 40)::VARCHAR"), ("5000", "skills:mapped", "'py'"), ("5001", "skills:mapped", "'sql'"), ("10000", "location.country:mapped", "'Germany'")]),
     _claim_sql("ats_json", [("2000", "phones:mapped", "'(415) 555-2671'")], "k % 3 <> 0"),
@@ -73,12 +76,14 @@ _ATS_SQL = " UNION ALL ".join((
 @_register(f"{_C} {_ATS_SQL}")
 def ats_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Foreign keys of an object, its lists of skills, jobs and schools; empty and unknown parts give nothing."""
-    return _shown(files.extract(_files(spark, sf_dir, {"ats.json": _ATS}))[0])
+    return _shown(files.extract(_files(spark, sf_dir, {"ats.json": _ats()}))[0])
 
 
-_CSV = F.when(_K % 5 == 0, _text("﻿Name,Email\n")).otherwise(
-    _text("﻿Candidate_Name , E-Mail,shoe size,Company,POSITION,cell\r\n\"", F.col("c_name"), '","c', _K, '@x.org",44,"Acme, ""Inc""",Line Lead,', F.when(_K % 2 == 0, "+1 415 555 2671").otherwise(""), "\r\nsecond,row,1,2,3,4\r\n")
-)
+def _csv() -> Column:
+    return F.when(_k() % 5 == 0, _text("﻿Name,Email\n")).otherwise(
+        _text("﻿Candidate_Name , E-Mail,shoe size,Company,POSITION,cell\r\n\"", F.col("c_name"), '","c', _k(), '@x.org",44,"Acme, ""Inc""",Line Lead,', F.when(_k() % 2 == 0, "+1 415 555 2671").otherwise(""), "\r\nsecond,row,1,2,3,4\r\n")
+    )
+
 _CSV_SQL = " UNION ALL ".join((
     _claim_sql("recruiter_csv", [("0", "full_name:direct", "name"), ("1", "emails:direct", "'c' || k || '@x.org'")], "k % 5 <> 0"),
     _claim_sql("recruiter_csv", [("5", "phones:direct", "'+1 415 555 2671'")], "k % 5 <> 0 AND k % 2 = 0"),
@@ -89,10 +94,12 @@ _CSV_SQL = " UNION ALL ".join((
 @_register(f"{_C} {_CSV_SQL}")
 def csv_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first data row of a table with headers of many spellings, quotes and a byte order mark."""
-    return _shown(files.extract(_files(spark, sf_dir, {"r.csv": _CSV}))[0])
+    return _shown(files.extract(_files(spark, sf_dir, {"r.csv": _csv()}))[0])
+
 
+def _snap() -> Column:
+    return _text('{"user":{"login":"u', _k(), '","name":"', F.col("c_name"), '","bio":', F.when(_k() % 2 == 0, '"Builds things"').otherwise("null"), ',"location":"Berlin, , BE, Germany","blog":"","html_url":"https://g.example/u', _k(), '"},"languages":["Go"," ","Rust"]}')
 
-_SNAP = _text('{"user":{"login":"u', _K, '","name":"', F.col("c_name"), '","bio":', F.when(_K % 2 == 0, '"Builds things"').otherwise("null"), ',"location":"Berlin, , BE, Germany","blog":"","html_url":"https://g.example/u', _K, '"},"languages":["Go"," ","Rust"]}')
 _GIT_SQL = " UNION ALL ".join((
     _claim_sql("github", [("0", "full_name:api", "name"), ("2", "links.github:api", "'https://g.example/u' || k"), ("4", "location.city:regex", "'Berlin'"), ("5", "location.country:regex", "'Germany'"), ("100", "skills:api", "'Go'"), ("102", "skills:api", "'Rust'")], "k % 4 <> 3"),
     _claim_sql("github", [("1", "headline:api", "'Builds things'")], "k % 4 <> 3 AND k % 2 = 0"),
@@ -102,12 +109,14 @@ _GIT_SQL = " UNION ALL ".join((
 @_register(f"{_C} {_GIT_SQL}")
 def github_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshots in files, and, for files that name a login, in a cache that lacks one in four."""
-    cache = _table(spark, sf_dir, "customer").where(_K % 4 != 3).select(_text("u", _K).alias("login"), _SNAP.alias("text"))
-    named = {"github.json": F.when(_K % 4 == 0, _SNAP), "gh.me.url": F.when(_K % 4 != 0, _text("  https://g.example/u", _K, "/ \nmore"))}
+    cache = _table(spark, sf_dir, "customer").where(_k() % 4 != 3).select(_text("u", _k()).alias("login"), _snap().alias("text"))
+    named = {"github.json": F.when(_k() % 4 == 0, _snap()), "gh.me.url": F.when(_k() % 4 != 0, _text("  https://g.example/u", _k(), "/ \nmore"))}
     return _shown(files.extract(_files(spark, sf_dir, named), cache)[0])
 
 
-_NOTES = _text("Call of 2024-02-11 with number ", _K, ". ~", 1 + _K % 30, "+ years, was 99 years elsewhere.\nProficient in js, Go and C++; good at SQL/Kafka.\nMail c", _K, "@x.org or c", _K, "@x.org, d@y.org. Phone +1 (415) 555-2671")
+def _notes() -> Column:
+    return _text("Call of 2024-02-11 with number ", _k(), ". ~", 1 + _k() % 30, "+ years, was 99 years elsewhere.\nProficient in js, Go and C++; good at SQL/Kafka.\nMail c", _k(), "@x.org or c", _k(), "@x.org, d@y.org. Phone +1 (415) 555-2671")
+
 _NOTES_SQL = _claim_sql("recruiter_notes", [
     ("0", "emails:regex", "'c' || k || '@x.org'"), ("1", "emails:regex", "'d@y.org'"), ("10001", "phones:regex", "'+1 (415) 555-2671'"), ("20000", "years_experience:regex", "(1 + k % 30)::VARCHAR"),
     ("30000", "skills:regex", "'js'"), ("30001", "skills:regex", "'Go'"), ("30002", "skills:regex", "'C++'"), ("30003", "skills:regex", "'SQL'"), ("30004", "skills:regex", "'Kafka'"), ("10000", "phones:regex", "'2024-02-11'"),
@@ -117,13 +126,15 @@ _NOTES_SQL = _claim_sql("recruiter_notes", [
 @_register(f"{_C} {_NOTES_SQL}")
 def notes_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses, numbers, years and skills of free text; names are never guessed."""
-    return _shown(files.extract(_files(spark, sf_dir, {"notes.txt": _NOTES}))[0])
+    return _shown(files.extract(_files(spark, sf_dir, {"notes.txt": _notes()}))[0])
 
 
-_RESUME = _text(
-    "Curriculum of 1\nAnn-Marie O'Neil\nann", _K, "@x.org | +1 (415) 555-2671\n\nProfile:\n  Builds   data\n systems ", _K, ".\nTECH STACK\nProficient: Python, Go | R\n- Docker; Git\nWork Experience\nEngineer at Acme ", _K % 7, "   Mar 2021 - Present\n"
-    "Built things.\nGlobex, Analyst   06/2017 to Feb 2021\nInitech — Clerk, 2015 – 2016\nProjects\nmy@project.org\nEducation:\nState University, BSc and B.S. of ", _K % 3, " — ", 1990 + _K % 30, "\nno year here\nReferences\nJo Do, jo@ref.org, +1 206 555 0144\n",
-)
+def _resume() -> Column:
+    return _text(
+        "Curriculum of 1\nAnn-Marie O'Neil\nann", _k(), "@x.org | +1 (415) 555-2671\n\nProfile:\n  Builds   data\n systems ", _k(), ".\nTECH STACK\nProficient: Python, Go | R\n- Docker; Git\nWork Experience\nEngineer at Acme ", _k() % 7, "   Mar 2021 - Present\n"
+        "Built things.\nGlobex, Analyst   06/2017 to Feb 2021\nInitech — Clerk, 2015 – 2016\nProjects\nmy@project.org\nEducation:\nState University, BSc and B.S. of ", _k() % 3, " — ", 1990 + _k() % 30, "\nno year here\nReferences\nJo Do, jo@ref.org, +1 206 555 0144\n",
+    )
+
 _RESUME_SQL = " UNION ALL ".join((
     _claim_sql("resume", [("0", "emails:regex", "'ann' || k || '@x.org'"), ("10000", "phones:regex", "'+1 (415) 555-2671'"), ("20000", "full_name:heuristic", "'Ann-Marie O''Neil'"), ("3000000", "headline:heuristic", "'Builds data systems ' || k || '.'"),
                            ("30801", "skills:regex", "'Python'"), ("30802", "skills:regex", "'Go'"), ("30803", "skills:regex", "'R'"), ("30900", "skills:regex", "'Docker'"), ("30901", "skills:regex", "'Git'")]),
@@ -137,7 +148,7 @@ _RESUME_SQL = " UNION ALL ".join((
 @_register(f"{_C} {_RESUME_SQL}")
 def resume_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sections of a resume; contacts of others (projects, references) are not the person's."""
-    return _shown(files.extract(_files(spark, sf_dir, {"resume.txt": _RESUME}))[0])
+    return _shown(files.extract(_files(spark, sf_dir, {"resume.txt": _resume()}))[0])
 
 
 def _docx(lines: list[str]) -> bytes:
@@ -164,17 +175,19 @@ _PAPER = ["Mara Lind", "mara@x.org", "Skills", "Python, Go", "Education", "Lund
 (VALUES ('full_name', 'Mara Lind', NULL), ('emails', 'mara@x.org', NULL), ('skills', 'Python', NULL), ('skills', 'Go', NULL), ('education', 'Lund University', 1999)) p(path, v, degree_year) WHERE k % 10 = i""")
 def document_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOCX and PDF files, as tasks read them."""
-    named = {"a.docx": F.when(_K % 10 == 0, F.lit(_docx(_PAPER))), "b.pdf": F.when(_K % 10 == 1, F.lit(_pdf(_PAPER)))}
+    named = {"a.docx": F.when(_k() % 10 == 0, F.lit(_docx(_PAPER))), "b.pdf": F.when(_k() % 10 == 1, F.lit(_pdf(_PAPER)))}
     rows = _files(spark, sf_dir, named)
     names = F.when(F.col("entity_key").cast("long") % 10 == 0, "a.docx").otherwise("b.pdf")
     return files.extract(rows)[0].select("entity_key", names.alias("file"), "path", F.coalesce("v", "edu.institution").alias("v"), F.col("edu.end_year").alias("degree_year"))
 
 
-_BAD = {
-    "a.csv": F.when(_K % 12 == 0, ""), "b.csv": F.when(_K % 12 == 1, "name,email\n"), "c.csv": F.when(_K % 12 == 2, "name\nx\ny\nz\n"), "d.json": F.when(_K % 12 == 3, '{"fullName": "x", '),
-    "e.json": F.when(_K % 12 == 4, "[1, 2]"), "f.json": F.when(_K % 12 == 5, _text('{"zeta": ', _K, ', "Alpha": 1, "fullName": "x", "beta": null}')), "github.json": F.when(_K % 12 == 6, '{"user": '),
-    "gh.me.url": F.when(_K % 12 == 7, _text("u", _K, "\n")), "notes.txt": F.when(_K % 12 == 8, " \n "), "photo.png": F.when(_K % 12 == 9, "x"), "resume.rtf": F.when(_K % 12 == 10, "x"), "cv.docx": F.when(_K % 12 == 11, "no zip file"),
-}
+def _bad() -> dict[str, Column]:
+    return {
+        "a.csv": F.when(_k() % 12 == 0, ""), "b.csv": F.when(_k() % 12 == 1, "name,email\n"), "c.csv": F.when(_k() % 12 == 2, "name\nx\ny\nz\n"), "d.json": F.when(_k() % 12 == 3, '{"fullName": "x", '),
+        "e.json": F.when(_k() % 12 == 4, "[1, 2]"), "f.json": F.when(_k() % 12 == 5, _text('{"zeta": ', _k(), ', "Alpha": 1, "fullName": "x", "beta": null}')), "github.json": F.when(_k() % 12 == 6, '{"user": '),
+        "gh.me.url": F.when(_k() % 12 == 7, _text("u", _k(), "\n")), "notes.txt": F.when(_k() % 12 == 8, " \n "), "photo.png": F.when(_k() % 12 == 9, "x"), "resume.rtf": F.when(_k() % 12 == 10, "x"), "cv.docx": F.when(_k() % 12 == 11, "no zip file"),
+    }
+
 _SAID = (
     "recruiter_csv: empty file a.csv", "recruiter_csv: header but no data rows in b.csv", "recruiter_csv: 3 rows; using the first only in c.csv", "ats_json: invalid JSON in d.json", "ats_json: top-level JSON is not an object in e.json",
     "ats_json: ignored unmapped fields [Alpha, beta, zeta] in f.json", "github: bad fixture github.json", "github: no cached snapshot for u# of gh.me.url", "recruiter_notes: empty file notes.txt", "ingest: skipped unrecognized file photo.png",
@@ -187,7 +200,7 @@ k % 12 NOT IN (2, 5) AS hard_skip FROM s""")
 def read_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every file that cannot be read, or not whole, gives a warning, and the batch goes on."""
     cache = spark.createDataFrame([("nobody", "{}")], "login string, text string")
-    return runner.classified(files.extract(_files(spark, sf_dir, _BAD), cache)[1]).select("entity_key", "warning", "stage", "severity", "hard_skip")
+    return runner.classified(files.extract(_files(spark, sf_dir, _bad()), cache)[1]).select("entity_key", "warning", "stage", "severity", "hard_skip")
 
 
 # Countries as customers may write them, by the number of their nation, with the code and whether it is a guess.
@@ -210,7 +223,12 @@ def country_iso(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("c", places.country(F.col("raw"))).select("c_custkey", "raw", F.col("c.value").alias("country"), F.col("c.fuzzy").alias("fuzzy"))
 
 
-_AREA, _LINE = 201 + _K % 700, F.lpad((_K % 10000).cast("string"), 4, "0")
+def _area() -> Column:
+    return 201 + _k() % 700
+
+
+def _line() -> Column:
+    return F.lpad((_k() % 10000).cast("string"), 4, "0")
 
 
 @_register("""WITH c AS (SELECT c_custkey AS k, (201 + c_custkey % 700)::VARCHAR AS area, lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS line FROM customer)
@@ -218,10 +236,10 @@ SELECT k AS c_custkey, CASE k % 8 WHEN 0 THEN '+1' || area || '555' || line WHEN
 WHEN 6 THEN '+39061234' || line ELSE '+4930' || line || '77' END AS phone FROM c""")
 def phone_e164(spark: SparkSession, sf_dir: str) -> DataFrame:
     """the number of every customer, with a calling code, or with a region and its trunk prefix, or with neither (no number)."""
-    k = _K % 8
+    k = _k() % 8
     raw = (
-        F.when(k == 0, _text("+1 (", _AREA, ") 555-", _LINE)).when(k == 1, _text("1 ", _AREA, ".555.", _LINE, " ext. 12")).when(k == 2, _text(_AREA, " 555 ", _LINE)).when(k == 3, _text("+31 20 624 ", _LINE))
-        .when(k == 4, _text("020 624 ", _LINE)).when(k == 5, _text("+1 1", F.substring(_AREA.cast("string"), 2, 2), " 555 ", _LINE)).when(k == 6, _text("06 1234 ", _LINE)).otherwise(_text("030/", _LINE, "77"))
+        F.when(k == 0, _text("+1 (", _area(), ") 555-", _line())).when(k == 1, _text("1 ", _area(), ".555.", _line(), " ext. 12")).when(k == 2, _text(_area(), " 555 ", _line())).when(k == 3, _text("+31 20 624 ", _line()))
+        .when(k == 4, _text("020 624 ", _line())).when(k == 5, _text("+1 1", F.substring(_area().cast("string"), 2, 2), " 555 ", _line())).when(k == 6, _text("06 1234 ", _line())).otherwise(_text("030/", _line(), "77"))
     )
     region = F.when(k == 1, "US").when(k == 4, "NL").when(k == 6, "IT").when(k == 7, "DE")
     return _table(spark, sf_dir, "customer").select("c_custkey", places.phone(raw, region).alias("phone"))
@@ -233,18 +251,18 @@ def _raw_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     edu = lambda *x: F.struct(*(c.alias(n) for n, c in zip(("institution", "degree", "field"), (F.lit(y).cast("string") for y in x[:3]), strict=True)), x[3].cast("int").alias("end_year"))
     no_exp, no_edu = F.lit(None).cast(schema.EXPERIENCE), F.lit(None).cast(schema.EDUCATION)
     rows = [
-        ("phones", _text(_AREA, " 555-", _LINE), None, None), ("full_name", F.upper("c_name"), None, None), ("emails", _text(" mailto:C", _K, "@X.org "), None, None), ("emails", F.lit("nobody"), None, None),
-        ("location.country", F.lit("Atlantis"), None, None), ("location.country", F.when(_K % 3 == 0, "U.S.A.").when(_K % 3 == 1, "The Netherlands").otherwise(""), None, None), ("location.city", F.lit("  San \t Jose "), None, None),
-        ("location.region", F.lit(" "), None, None), ("skills", F.when(_K % 2 == 0, "  node.JS ").otherwise("machine  vision"), None, None), ("years_experience", F.when(_K % 4 == 0, "NaN").when(_K % 4 == 1, "x").otherwise((_K % 50).cast("string")), None, None),
-        ("headline", _text(" a\n b ", _K), None, None), ("links.github", F.lit(""), None, None), ("elsewhere", F.lit(" kept  too "), None, None),
-        ("experience", None, exp(" Acme  Inc ", "", "Mar. 2021", "Present", _text("did\n", _K)), None), ("experience", None, exp(" ", None, "2021", "now", ""), None),
-        ("education", None, None, edu("MIT ", " ", None, 1890 + _K % 40)), ("education", None, None, edu(" ", None, "", F.lit(1700))),
+        ("phones", _text(_area(), " 555-", _line()), None, None), ("full_name", F.upper("c_name"), None, None), ("emails", _text(" mailto:C", _k(), "@X.org "), None, None), ("emails", F.lit("nobody"), None, None),
+        ("location.country", F.lit("Atlantis"), None, None), ("location.country", F.when(_k() % 3 == 0, "U.S.A.").when(_k() % 3 == 1, "The Netherlands").otherwise(""), None, None), ("location.city", F.lit("  San \t Jose "), None, None),
+        ("location.region", F.lit(" "), None, None), ("skills", F.when(_k() % 2 == 0, "  node.JS ").otherwise("machine  vision"), None, None), ("years_experience", F.when(_k() % 4 == 0, "NaN").when(_k() % 4 == 1, "x").otherwise((_k() % 50).cast("string")), None, None),
+        ("headline", _text(" a\n b ", _k()), None, None), ("links.github", F.lit(""), None, None), ("elsewhere", F.lit(" kept  too "), None, None),
+        ("experience", None, exp(" Acme  Inc ", "", "Mar. 2021", "Present", _text("did\n", _k())), None), ("experience", None, exp(" ", None, "2021", "now", ""), None),
+        ("education", None, None, edu("MIT ", " ", None, 1890 + _k() % 40)), ("education", None, None, edu(" ", None, "", F.lit(1700))),
     ]
     each = F.array(*(
         F.struct(F.lit(i).alias("claim_seq"), F.lit(p).alias("path"), (F.lit(None) if v is None else v).cast("string").alias("v"), (no_exp if x is None else x.cast(schema.EXPERIENCE)).alias("exp"), (no_edu if d is None else d.cast(schema.EDUCATION)).alias("edu"))
         for i, (p, v, x, d) in enumerate(rows)
     ))
-    return _table(spark, sf_dir, "customer").select(_K.cast("string").alias("entity_key"), F.lit("ats.json").alias("file_seq"), F.inline(each), F.lit("ats_json").alias("source"), F.lit("mapped").alias("method"), F.lit(False).alias("fuzzy"))
+    return _table(spark, sf_dir, "customer").select(_k().cast("string").alias("entity_key"), F.lit("ats.json").alias("file_seq"), F.inline(each), F.lit("ats_json").alias("source"), F.lit("mapped").alias("method"), F.lit(False).alias("fuzzy"))
 
 
 def _norm_sql(rows: list[tuple[int, str, str, str, str]]) -> str:
@@ -294,8 +312,8 @@ def education_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register(f"{_C} " + " UNION ALL ".join((_ATS_SQL, _CSV_SQL, _GIT_SQL, _NOTES_SQL, _RESUME_SQL)))
 def sources_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims of all five kinds of files, of every customer."""
-    cache = _table(spark, sf_dir, "customer").where(_K % 4 != 3).select(_text("u", _K).alias("login"), _SNAP.alias("text"))
-    named = {"ats.json": _ATS, "r.csv": _CSV, "github.json": F.when(_K % 4 == 0, _SNAP), "gh.me.url": F.when(_K % 4 != 0, _text("  https://g.example/u", _K, "/ \nmore")), "notes.txt": _NOTES, "resume.txt": _RESUME}
+    cache = _table(spark, sf_dir, "customer").where(_k() % 4 != 3).select(_text("u", _k()).alias("login"), _snap().alias("text"))
+    named = {"ats.json": _ats(), "r.csv": _csv(), "github.json": F.when(_k() % 4 == 0, _snap()), "gh.me.url": F.when(_k() % 4 != 0, _text("  https://g.example/u", _k(), "/ \nmore")), "notes.txt": _notes(), "resume.txt": _resume()}
     return _shown(files.extract(_files(spark, sf_dir, named), cache)[0])
 
 
@@ -373,8 +391,8 @@ ELSE 'name+source|' || lower(c_name) || '|' || won.entity_key END), 1, 12) AS ca
 def whole_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw claims of several paths, normalized and merged into one record an entity."""
     orders, customers = catalog._headlines(spark, sf_dir), _table(spark, sf_dir, "customer")
-    own = F.array(*(F.struct(F.lit(i).alias("claim_seq"), F.lit(p).alias("path"), v.alias("v")) for i, (p, v) in enumerate((("full_name", F.upper("c_name")), ("emails", F.when(_K % 2 == 0, _text("C", _K, "@X.org"))), ("location.country", F.lit("usa"))))))
-    more = customers.select(_K.cast("string").alias("entity_key"), F.inline(own)).join(orders.select("entity_key").distinct(), "entity_key", "left_semi")
+    own = F.array(*(F.struct(F.lit(i).alias("claim_seq"), F.lit(p).alias("path"), v.alias("v")) for i, (p, v) in enumerate((("full_name", F.upper("c_name")), ("emails", F.when(_k() % 2 == 0, _text("C", _k(), "@X.org"))), ("location.country", F.lit("usa"))))))
+    more = customers.select(_k().cast("string").alias("entity_key"), F.inline(own)).join(orders.select("entity_key").distinct(), "entity_key", "left_semi")
     none = F.lit(None)
     more = more.select("entity_key", F.lit("r.csv").alias("file_seq"), "claim_seq", "path", "v", none.cast(schema.EXPERIENCE).alias("exp"), none.cast(schema.EDUCATION).alias("edu"), F.lit("recruiter_csv").alias("source"), F.lit("direct").alias("method"), F.lit(False).alias("fuzzy"))
     found = fuse.profiles(normalize(orders.unionByName(more)))

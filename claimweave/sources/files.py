@@ -386,7 +386,7 @@ def pdf_text(data: bytes) -> str:
     for content in streams:
         if b"beginbf" in content or not re.search(rb"\b(?:Tj|TJ)\b", content):
             continue
-        for line in re.split(rb"\b(?:Td|TD|T\*|Tm)\b", content):
+        for line in re.split(rb"\b(?:Td|TD|Tm)\b|\bT\*", content):
             shown = ""
             for found in _PDF_STRING.finditer(line):
                 if found[1] is not None:

@@ -1,6 +1,7 @@
 """Scalar functions against literal vectors."""
 
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,6 +36,7 @@ def test_text(spark, function, raw, expected):
     [
         ("+1 (415) 555-2671", None, "+14155552671"), ("(415) 555-2671", "US", "+14155552671"), ("415 555 2671", None, None), ("not a phone", "US", None),
         ("+39 06 1234 5678", None, "+390612345678"), ("020 624 1111", "NL", "+31206241111"), ("2024-02-11", "US", None), ("+999 12345678", None, None),
+        ("+27 82 555 0134", None, "+27825550134"), ("+380 44 555 0134", None, "+380445550134"), ("+7 912 555 01 34", None, "+79125550134"), ("+28 1234567", None, None), ("+27 1", None, None),
     ],
 )
 def test_phone(spark, raw, region, expected):
@@ -80,8 +82,8 @@ def test_csv_of_any_width_and_quoting(spark):
         "after": 'name,email\n"Jo"hn,i@j.co',
         "long": "name,email\n\"" + '""x' * 20_000 + "\",k@l.co",
     }
-    rows = [(k, 1, f"{k}.csv", v) for k, v in bodies.items()]
-    claims, warnings = files.csv(spark.createDataFrame(rows, "entity_key string, file_seq int, file string, text string"))
+    rows = [(k, f"{k}.csv", f"{k}.csv", v) for k, v in bodies.items()]
+    claims, warnings = files.csv(spark.createDataFrame(rows, "entity_key string, file_seq string, file string, text string"))
     got = {(r.entity_key, r.path): r for r in claims.collect()}
     expected = {
         ("wide", "emails"): "a@b.co", ("wide", "phones"): "+1 415 555 2671", ("break", "emails"): "c@d.co", ("break", "full_name"): 'Ann "A", B', ("stray", "full_name"): '5" disk',
@@ -92,3 +94,12 @@ def test_csv_of_any_width_and_quoting(spark):
     job = got["break", "experience"]
     assert job.exp.company == "Acme" and job.claim_seq > got["break", "full_name"].claim_seq
     assert [(r.entity_key, r.warning) for r in warnings.collect()] == [("break", "recruiter_csv: 2 rows; using the first only in break.csv")]
+
+
+def test_pdf_strings():
+    mapped = b"/CIDInit begincmap 1 beginbfchar <0003> <0048> endbfchar 1 beginbfrange <0010> <0012> <0061> endbfrange endcmap"
+    shown = b"BT /F1 12 Tf 0 -14 Td <0003001000110012> Tj 0 -14 Td [<0010> -20 <0011>] TJ ET"
+    stream = lambda data: b"1 0 obj << >>\nstream\n" + data + b"\nendstream\nendobj\n"
+    assert files.pdf_text(stream(zlib.compress(mapped)) + stream(zlib.compress(shown))) == "Habc\nab"
+    assert files.pdf_text(stream(b"BT (a\\(b\\)\\050 \\\\ (in) c) Tj T* <4A6F> Tj ET")) == "a(b)( \\ (in) c\nJo"
+    assert files.pdf_text(b"%PDF broken") == ""

@@ -14,7 +14,7 @@ def claims(spark, rows, key="e"):
     for i, (path, v, source, method) in enumerate(rows):
         exp = v if path == "experience" else None
         edu = v if path == "education" else None
-        out.append((key, 1, i, path, None if exp or edu else v, exp, edu, source, method, False))
+        out.append((key, "f", i, path, None if exp or edu else v, exp, edu, source, method, False))
     return spark.createDataFrame(out, schema.CLAIMS)
 
 

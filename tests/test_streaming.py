@@ -6,7 +6,7 @@ from claimweave.streaming.incremental import fuse_stream
 
 def test_later_batches_change_profiles(spark, tmp_path):
     source, seen = str(tmp_path / "in"), {}
-    rows = [("e", 1, 0, "headline", "from notes", None, None, "recruiter_notes", "regex", False), ("f", 1, 0, "headline", "other", None, None, "resume", "direct", False)]
+    rows = [("e", "1", 0, "headline", "from notes", None, None, "recruiter_notes", "regex", False), ("f", "1", 0, "headline", "other", None, None, "resume", "direct", False)]
     spark.createDataFrame(rows, schema.CLAIMS).write.parquet(source)
 
     def run():
@@ -16,6 +16,6 @@ def test_later_batches_change_profiles(spark, tmp_path):
     run()
     assert seen == {"e": "from notes", "f": "other"}
     seen.clear()
-    spark.createDataFrame([("e", 2, 0, "headline", "from ats", None, None, "ats_json", "mapped", False)], schema.CLAIMS).write.mode("append").parquet(source)
+    spark.createDataFrame([("e", "2", 0, "headline", "from ats", None, None, "ats_json", "mapped", False)], schema.CLAIMS).write.mode("append").parquet(source)
     run()
     assert seen == {"e": "from ats"}
