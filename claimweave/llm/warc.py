@@ -6,12 +6,15 @@ others ``revisit`` records that refer to it and have no body. Each task writes i
 at most ``FILE_BYTES`` of compressed data under a temporary name, renames them when complete, and
 returns their names as rows; only files named by the tasks that Spark accepted are read, so a lost
 executor or a repeated task leaves no record twice. Writing uses pyarrow's file systems, so the
-folder may be any URI that they know.
+folder may be any URI that they know (file, hdfs, s3 and s3a, gs, abfs).
 
 Reading: files come through Spark's ``binaryFile`` source. A record that fails a check (gzip
 checksum, WARC header, content length, block or payload digest) does not end the file: the reader
 looks for the next byte at which a valid member (compressed files) or a version line (plain files)
-begins, goes on there, and reports the gap as a ``quarantine`` row with its offset and length.
+begins, goes on there, and reports the gap as a ``quarantine`` row with its offset and length. It looks
+inside members as well: a member may hold several records, of which those before and after a bad one are
+kept, and of a damaged member what could be inflated, if a record's own digest vouches for it. The registered query
+fails if what it reads back is not what the manifest says was written.
 
 Cases: null html is an empty payload; a page_id may be null or repeated (rows of the smallest page_id
 with equal payloads are all responses); an empty table writes no file and gives no rows; urls may be
@@ -108,58 +111,83 @@ def _parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return head, body, stop + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """Content and end of the gzip member at ``at``; Bad if it is damaged."""
+def _inflate(data: bytes, at: int, step: int = 65536) -> tuple[bytes, int, str]:
+    """Content, end and problem of the gzip member at ``at``; a damaged one has what came before the damage, and no end (-1)."""
     unpacker, out, here = zlib.decompressobj(31), [], at
     view = memoryview(data)
     try:
         while not unpacker.eof and here < len(data):
-            piece = view[here : here + 65536]
+            piece = view[here : here + step]
             out.append(unpacker.decompress(piece))
             here += len(piece) - len(unpacker.unused_data)
     except zlib.error as e:
-        raise Bad(str(e)) from None
-    if not unpacker.eof:
-        raise Bad("member is cut off")
-    return b"".join(out), here
+        if step > 64:  # once more in small steps, as the step that fails gives nothing
+            return _inflate(data, at, 64)
+        return b"".join(out), -1, str(e)
+    return (b"".join(out), here, "") if unpacker.eof else (b"".join(out), -1, "member is cut off")
 
 
-def _members(data: bytes, at: int) -> tuple[list[tuple[dict, bytes]], int]:
-    """The records of the gzip member at ``at``, and its end."""
-    content, end = _inflate(data, at)
-    records, here = [], 0
-    while here < len(content):
-        head, body, here = _parse(content, here)
-        records.append((head, body))
-    return records, end
-
-
-def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
-    """(position, length, header, body, problem) of each record; a gap has no header and its problem."""
+def _records(content: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
+    """(begin, end, header, body, problem) of the records of a text; after one that fails, of those from the next version line on that begins a good one."""
     at = 0
-    while at < len(data):
-        packed = data.startswith(_MAGIC, at)
+    while at < len(content):
         try:
-            if packed:
-                records, end = _members(data, at)
-            else:
-                head, body, end = _parse(data, at)
-                records = [(head, body)]
+            head, body, end = _parse(content, at)
+            yield at, end, head, body, ""
+            at = end
         except Bad as e:
-            begin, problem = at, str(e)
-            at = len(data)
-            for found in _START.finditer(data, begin + 1):  # the next valid member or version line
+            stop = len(content)
+            for found in _VERSION_LINE.finditer(content, at + 1):
                 try:
-                    _members(data, found.start()) if found[0] == _MAGIC else _parse(data, found.start())
+                    _parse(content, found.start())
                 except Bad:
                     continue
-                at = found.start()
+                stop = found.start()
                 break
-            yield begin, at - begin, None, b"", problem
+            yield at, stop, None, b"", str(e)
+            at = stop
+
+
+def _good(data: bytes, at: int) -> bool:
+    """Whether a whole member, or a record, begins here."""
+    if data.startswith(_MAGIC, at):
+        content, end, _ = _inflate(data, at)
+        return end >= 0 and any(head is not None for _, _, head, _, _ in _records(content))
+    try:
+        _parse(data, at)
+    except Bad:
+        return False
+    return True
+
+
+def _next(data: bytes, at: int) -> int:
+    """Where the next valid member or version line after ``at`` begins."""
+    return next((found.start() for found in _START.finditer(data, at + 1) if _good(data, found.start())), len(data))
+
+
+def salvage(data: bytes) -> Iterator[tuple[int, int, dict | None, bytes, str]]:
+    """(position, length, header, body, problem) of each record; a gap has no header and its problem. Records of a member have its position and length."""
+    at = 0
+    while at < len(data):
+        if not data.startswith(_MAGIC, at):
+            try:
+                head, body, end = _parse(data, at)
+                yield at, end - at, head, body, ""
+            except Bad as e:
+                end = _next(data, at)
+                yield at, end - at, None, b"", str(e)
+            at = end
             continue
-        for head, body in records:
-            yield at, end - at, head, body, ""
-        at = end
+        content, end, problem = _inflate(data, at)
+        stop = end if end >= 0 else _next(data, at)
+        for begin, upto, head, body, wrong in _records(content):
+            if head is not None and (not problem or head.get("warc-block-digest", "").startswith("sha1:")):
+                yield at, stop - at, head, body, ""
+            elif head is None and not problem:
+                yield at, stop - at, None, b"", f"{wrong} (bytes {begin} to {upto} of the member's content)"
+        if problem:
+            yield at, stop - at, None, b"", problem
+        at = stop
 
 
 def _number(text: str | None) -> int | None:
@@ -198,7 +226,7 @@ def _writer(folder: str) -> object:
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", folder))
         out = name = None
         room = count = 0
 
@@ -258,5 +286,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_warc(table(spark, sf_dir, "pages"), folder)
     if not manifest.limit(1).count():
         return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    records = read_warc(written_files(manifest, folder), bodies=False)
-    return records.where("kind <> 'quarantine'").select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+    records = written(read_warc(written_files(manifest, folder), bodies=False), "records")
+    wrote, (read, gaps) = manifest.agg(F.sum("records")).first()[0], records.agg(F.count_if(F.col("kind") != "quarantine"), F.count_if(F.col("kind") == "quarantine")).first()
+    if gaps or read != wrote:
+        raise RuntimeError(f"{wrote} records were written, {read} read, with {gaps} gaps")
+    return records.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")

@@ -527,6 +527,23 @@ def test_salvage_of_damaged_archives(packed):
     assert sum(o[1] for o in out) == len(data_)
 
 
+def test_salvage_inside_members():
+    """A member of many records loses the bad one only; a member whose end is damaged keeps what its records' digests vouch for."""
+    records = [warc.record(i, f"http://x/{i}", random.Random(i).randbytes(900), None, False) for i in range(9)]
+    bad = bytearray(records[4])
+    bad[-300] ^= 0xFF
+    whole = warc.member(b"".join([*records[:4], bytes(bad), *records[5:]]))
+    out = list(warc.salvage(whole + warc.member(records[0])))
+    assert [o[2]["warc-page-id"] for o in out if o[2]] == [*"01235678", "0"] and [o[:2] for o in out if o[2] is None] == [(0, len(whole))]
+    broken = bytearray(warc.member(b"".join(records)))
+    broken[-6] ^= 0xFF  # the checksum
+    out = list(warc.salvage(bytes(broken) + warc.member(records[0])))
+    assert [o[2]["warc-page-id"] for o in out if o[2]] in ([*"012345678", "0"], [*"01234567", "0"]) and [o[:2] for o in out if o[2] is None] == [(0, len(broken))]
+    cut = warc.member(b"".join(records))[:-1200]
+    out = list(warc.salvage(cut))
+    assert [o[2]["warc-page-id"] for o in out if o[2]][:6] == [*"012345"] and out[-1][4] == "member is cut off"
+
+
 def test_reputation_blocks_what_stands_out(spark):
     """A large bad host is blocked, a small one spared, and hosts that differ by chance are left."""
     hosts = [("bad.example.com", 90, 120), ("tiny.example.org", 2, 2)] + [(f"h{i}.example.org", 8 + i % 5, 100) for i in range(30)]
