@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimweave.llm.common import new_path, small, table, written
+from claimweave.llm.common import new_path, small, spread, starts, table, written
 
 FILE_BYTES = 64 << 20
 LEVEL = 6
@@ -262,13 +262,16 @@ def marked(pages: DataFrame, least: int = 0) -> DataFrame:
     first = written(same.groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("rows")).where("rows > 1 and first is not null").select("same", "first"), "first")
     if not first.limit(1).count():
         return pages.withColumns({"refers_to": F.lit(None).cast("long"), "revisit": F.lit(False)})
-    out = pages.withColumn("same", F.when(F.octet_length("html") >= least, F.sha1("html"))).join(small(first), "same", "left")
+    # Payloads that are too small to be shared have keys of their own, so that they meet nothing and not each other.
+    key = F.when(F.octet_length("html") >= least, F.sha1("html")).otherwise(F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string")))
+    out = spread(pages.withColumn("same", key), first, "same", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     return out.select("page_id", "url", "html", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_warc(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Write pages (page_id, url, html) to archives under ``folder``; returns the written files as a table (file, records)."""
+    starts(pages.sparkSession)
     return written(marked(pages, least).mapInPandas(_writer(folder), "file string, records long"), "manifest")
 
 

@@ -47,10 +47,12 @@ def write(spark, folder: Path, rows: list[dict], pages: list[tuple] = (), items:
     kind = "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} int" for c in CLASHING)
     spark.createDataFrame(docs, kind).repartition(3).write.parquet(f"{folder}/documents.parquet")
     labels = [(r["doc_id"], r["quality"], r["toxic"]) for r in rows] + ([(None, 1, 1), (3, None, None), (999_999, 0, 1)] if rows else [])
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
-    spark.createDataFrame(list(pages), "page_id long, url string, html string").write.parquet(f"{folder}/pages.parquet")
-    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
-    spark.createDataFrame(list(vectors), "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    for name, kind, table in (
+        ("labels", "doc_id long, quality int, toxic int", labels), ("pages", "page_id long, url string, html string", pages),
+        ("benchmark", "item_id long, text string", items), ("embeddings", "vec_id long, embedding array<float>, label int", vectors),
+    ):
+        clashing = [c for c in (*CLASHING, "bad", "host", "path", "place", "words", "segment", "list", "ids", "query_id") if f"{c} " not in kind]
+        spark.createDataFrame([(*r, *range(len(clashing))) for r in table], f"{kind}, " + ", ".join(f"{c} int" for c in clashing)).write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
 
 
