@@ -1,23 +1,28 @@
-"""Raw claims to canonical ones: one projection and one filter; claims that do not normalize are dropped."""
+"""Raw claims to canonical ones: a projection and a filter, and one hint an entity for phones without a calling code;
+claims that do not normalize are dropped."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimweave.functions import places, text
 
 
+def hints(claims: DataFrame) -> DataFrame:
+    """hint_key, region: of each entity the first country, in input order, that its claims name; added up on the map side."""
+    named = claims.where(F.col("path") == "location.country").withColumn("region", places.country(F.col("v"))["value"]).where("region is not null")
+    return named.groupBy(F.col("entity_key").alias("hint_key")).agg(F.min_by("region", F.struct("file_seq", "claim_seq")).alias("region"))
+
+
 def normalize(claims: DataFrame) -> DataFrame:
     """claims (schema.CLAIMS) with canonical values. A phone without a calling code takes the region of the
-    first country, in input order, that its entity's own claims name."""
+    first country, in input order, that its entity's own claims name; only these phones meet the hints."""
     v, path = F.col("v"), F.col("path")
-    country = F.when(path == "location.country", places.country(v))
-    claims = claims.withColumn("_country", country)
-    order = F.struct("file_seq", "claim_seq")
-    named = F.col("_country")["value"].isNotNull()
-    region = F.min_by(F.when(named, F.col("_country")["value"]), F.when(named, order)).over(W.partitionBy("entity_key"))
+    bare = F.coalesce((path == "phones") & ~text.strip(v).rlike(r"^\(?\+"), F.lit(False))
+    hinted = claims.where(bare).join(hints(claims), F.col("entity_key").eqNullSafe(F.col("hint_key")), "left").drop("hint_key").withColumnRenamed("region", "_region")
+    claims = claims.where(~bare).withColumn("_region", F.lit(None).cast("string")).unionByName(hinted)
+    claims = claims.withColumn("_country", F.when(path == "location.country", places.country(v)))
     value = (
         F.when(path == "emails", text.email(v))
         .when(path == "phones", places.phone(v, F.col("_region")))
@@ -32,7 +37,7 @@ def normalize(claims: DataFrame) -> DataFrame:
     exp = F.struct(*(text.collapse(exp[f]).alias(f) for f in ("company", "title")), text.month(exp["start"]).alias("start"), text.month(exp["end"]).alias("end"), text.collapse(exp["summary"]).alias("summary"))
     edu = F.struct(*(text.collapse(edu[f]).alias(f) for f in ("institution", "degree", "field")), F.when(edu["end_year"].between(1900, 2100), edu["end_year"]).alias("end_year"))
     some = lambda s, *names: F.when(F.coalesce(*(s[n].cast("string") for n in names)).isNotNull(), s)
-    out = claims.withColumn("_region", region).select(
+    out = claims.select(
         "entity_key", "file_seq", "claim_seq", "path", F.nullif(value, F.lit("")).alias("v"),
         F.when(path == "experience", some(exp, "company", "title", "start", "end", "summary")).alias("exp"),
         F.when(path == "education", some(edu, "institution", "degree", "field", "end_year")).alias("edu"),

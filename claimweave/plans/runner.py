@@ -8,6 +8,7 @@ import re
 import sys
 import urllib.parse
 import urllib.request
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from claimweave.operators.fuse import profiles
 from claimweave.operators.normalize import normalize
 from claimweave.plans.project import Config, default_config, load_config, project
-from claimweave.sources.files import detect, discover, extract, login_of
+from claimweave.sources.files import both, detect, discover, login_of, read
 
 #: Gets the snapshot of a login, or fails.
 Fetch = Callable[[str], dict]
@@ -46,9 +47,22 @@ class Result:
     warnings: list[str] = field(default_factory=list)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that executors share (spark.checkpoint.dir), so that what it took is not done again; as it is if there is none."""
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        return df
+    path = f"{at.rstrip('/')}/read-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def fused(files: DataFrame, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Profiles and warnings of discovered files; an entity without any usable claim has a profile too."""
-    claims, warnings = extract(files, cache)
+    claims, warnings = both(cut(read(files, cache)))
     return profiles(normalize(claims), files.select("entity_key").distinct()), warnings
 
 

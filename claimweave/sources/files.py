@@ -325,10 +325,11 @@ def resume_warning(file: Column, body: Column) -> Column:
 
 def _read(files: DataFrame, source: str, claims: Column, warning: Column) -> tuple[DataFrame, DataFrame]:
     """Claims and warnings of files (entity_key, file_seq, file) that are all of one source."""
-    return _both(files.select("entity_key", "file_seq", "file", F.lit(source).alias("source"), claims.alias("claims"), F.concat(F.lit(f"{source}: "), warning, F.lit(" "), F.col("file")).alias("warning")))
+    return both(files.select("entity_key", "file_seq", "file", F.lit(source).alias("source"), claims.alias("claims"), F.concat(F.lit(f"{source}: "), warning, F.lit(" "), F.col("file")).alias("warning")))
 
 
-def _both(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+def both(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims and warnings of ``read``."""
     found = read.select("entity_key", "file_seq", "source", F.inline("claims"))
     found = found.select("entity_key", "file_seq", "claim_seq", "path", "v", "exp", "edu", "source", "method", F.lit(False).alias("fuzzy"))
     return found, read.where("warning is not null").select("entity_key", "file_seq", "file", "warning")
@@ -450,4 +451,4 @@ def read(files: DataFrame, cache: DataFrame | None = None) -> DataFrame:
 
 def extract(files: DataFrame, cache: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Claims and warnings of all files."""
-    return _both(read(files, cache))
+    return both(read(files, cache))
