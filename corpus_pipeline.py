@@ -35,11 +35,24 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(quality.quality(F.col("text"), model) >= quality.CUT)
 
 
+#: Numbers of rows without a doc_id of their own lie below this.
+OWN = -(1 << 61)
+
+
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = "row"
     while row in docs.columns:
         row += "_"
-    marked = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    # A row is known by its doc_id, whose order says which text of a group is the oldest; rows that share one, or have none, are numbered.
+    again = written(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where(f"rows > 1 or doc_id <= {OWN}").select("doc_id", F.lit(True).alias("again")), "again")
+    marked = docs.withColumn(row, F.col("doc_id").cast("long"))
+    if again.limit(1).count() or docs.where("doc_id is null").limit(1).count():
+        flag = "again"
+        while flag in docs.columns:
+            flag += "_"
+        own = F.col(flag).isNotNull() | F.col("doc_id").isNull()
+        marked = spread(docs, again.withColumnRenamed("again", flag), "doc_id", "left").withColumn(row, F.when(own, F.lit(OWN) - F.monotonically_increasing_id()).otherwise(F.col("doc_id").cast("long"))).drop(flag)
+    marked = written(marked.select(*(f"`{c}`" for c in docs.columns), row), "rows")
     found = minhash.near_duplicates(marked.select(F.col(row).alias("doc_id"), "text"))
     groups = written(found.select(F.col("doc_id").alias("number"), "component_id"), "groups")
     several = written(groups.where("number <> component_id").select("component_id").distinct(), "several")
