@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from claimweave.llm import ann, decontaminate, language_id, minhash, mixing, queries, toxicity, url_reputation, warc, wrapper
+from claimweave.llm import ann, decontaminate, language_id, minhash, mixing, quality, queries, toxicity, url_reputation, warc, wrapper
 from tests.llm import data
 
 ALL = queries.queries()
@@ -154,6 +154,40 @@ def test_classifiers_on_held_out(spark, sf, rows, name, label, cut, parts, out):
     assert right / n > 0.85
 
 
+def test_quality_is_learned_from_every_row_and_every_pair(spark, rows):
+    docs = [(r["doc_id"], r["text"]) for r in rows if r["doc_id"] is not None and r["doc_id"] < 240]
+    labels = [(r["doc_id"], r["quality"]) for r in rows if r["doc_id"] is not None and r["doc_id"] < 240] + [(None, 1), (3, None), (7, 1), (7, 0), (9999, 0), (8, 5)]
+    known = {}
+    for i, label in labels:
+        if i is not None and label is not None:
+            known[i] = min(label, known.get(i, label))
+    x, y = np.array([quality.features(t) for i, t in docs]), np.array([known[i] for i, _ in docs])
+    mean, sd = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
+    z = (x - mean) / sd
+    pairs = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, quality.SIZE)
+    w, part = np.zeros(quality.SIZE), 40_000 / len(pairs)
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-pairs @ w))
+        step = np.linalg.solve(part * (pairs * (p * (1 - p))[:, None]).T @ pairs + np.eye(len(w)), part * pairs.T @ (p - 1) + w)
+        w = w - step * min(1.0, 4 / np.abs(step).max())
+    for local in ({}, {"local": 0}):  # added up on the driver; in tasks
+        model = quality.train(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, quality int"), **local)
+        assert model["mean"] == pytest.approx(mean) and model["sd"] == pytest.approx(sd)
+        assert model["w"] == pytest.approx(w, abs=1e-3)
+        assert model["cut"] == pytest.approx(np.quantile(z @ w, (y == 0).mean()), abs=1e-3)
+
+
+def test_quantiles_of_scores_are_exact(spark):
+    rng = np.random.default_rng(4)
+    x = np.zeros((30_000, quality.SIZE))
+    x[:, 0] = np.concatenate([np.full(12_000, 0.5), rng.standard_normal(17_999), [1e9]])  # ties, and one that is far
+    rows = spark.createDataFrame([(0, bytearray(r.tobytes())) for r in x[:, :1]], "y int, x binary").repartition(3)
+    scores = rows.select("x").mapInPandas(lambda batches: (b.assign(s=[np.frombuffer(v)[0] for v in b["x"]])[["s"]] for b in batches), "s double")
+    ordered = np.sort(x[:, 0])
+    for rank in (0, 1, 9_000, 20_000, 29_998, 29_999):
+        assert quality._ranked(scores, rank) == ordered[rank]
+
+
 def test_language_on_held_out(spark, sf, rows):
     truth = {r["doc_id"]: r["lang"] for r in rows if r["lang"]}
     got = ALL["op5_language_id"](spark, sf).collect()
