@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -177,6 +178,18 @@ def test_quality_is_learned_from_every_row_and_every_pair(spark, rows):
         assert model["cut"] == pytest.approx(np.quantile(z @ w, (y == 0).mean()), abs=1e-3)
 
 
+@pytest.mark.parametrize("local", [quality.LOCAL, 0])
+def test_learning_of_quality_holds_sums_on_the_driver(spark, rows, local):
+    docs = spark.createDataFrame([(r["doc_id"], r["text"]) for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r["doc_id"], r["quality"]) for r in rows], "doc_id long, quality int")
+    tracemalloc.start()
+    try:
+        model = quality.train(docs, labels, local)
+        assert model["fitted"] and tracemalloc.get_traced_memory()[1] < 60 << 20  # 40,000 pairs of SIZE doubles took 80 MB, several times over
+    finally:
+        tracemalloc.stop()
+
+
 def test_quantiles_of_scores_are_exact(spark):
     rng = np.random.default_rng(4)
     x = np.zeros((30_000, quality.SIZE))
