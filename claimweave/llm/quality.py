@@ -247,7 +247,7 @@ class _Ranked:
         lost = np.array([_met(self.good, lambda u: _sigmoid(-u), step) / sizes[0], -_met(self.bad, _sigmoid, step) / sizes[1]])
         # Knots lie on nodes over the scores that still have curvature, so that both grids agree and the curvature is that of a convex loss.
         bent = np.where(self.good > 0, _met(self.bad, _bend, step), 0) + np.where(self.bad > 0, _met(self.good, _bend, step), 0)
-        live = np.flatnonzero(bent > 1e-4 * bent.max())
+        live = np.flatnonzero(bent > 1e-4 * bent.max()) if bent.max() > 1e-14 else np.arange(len(bent))
         wide = max(1, -(-int(live[-1] - live[0]) // (KNOTS - 1)))
         knots = (float(self.nodes[live[0]]), step * wide, KNOTS)
         kernel = _bend(knots[1] * (np.arange(KNOTS)[:, None] - np.arange(KNOTS)))
