@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from claimweave.plans import catalog
+from claimweave.plans import catalog, catalog_files
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -22,3 +22,14 @@ def test_against_sql(spark, name):
     got = catalog.queries()[name](spark, SF)
     assert sorted(got.columns) == sorted(columns)
     assert sorted(map(repr, map(tuple, got.select(*columns).collect()))) == sorted(map(repr, expected))
+
+
+def test_tables_in_folders_are_one_file_each(spark, tmp_path):
+    for at, name in enumerate(catalog_files._TABLES):
+        parts = [f"{name}.parquet"] if at % 3 else [f"{name}.parquet/part-{i}.parquet" for i in range(3)]
+        for part in [*parts, f"_{name}"]:
+            (tmp_path / part).parent.mkdir(exist_ok=True)
+            (tmp_path / part).write_bytes(b"x")
+    expected = duckdb.sql(catalog.oracle_sql()["file_order"]).fetchall()
+    got = catalog.queries()["file_order"](spark, str(tmp_path)).select("file", "place", "said").collect()
+    assert sorted(map(tuple, got)) == sorted(expected)
