@@ -33,3 +33,22 @@ def test_tables_in_folders_are_one_file_each(spark, tmp_path):
     expected = duckdb.sql(catalog.oracle_sql()["file_order"]).fetchall()
     got = catalog.queries()["file_order"](spark, str(tmp_path)).select("file", "place", "said").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_files_are_read_once_and_by_all_cores(spark):
+    for name in ("resume_claims", "notes_claims", "ats_claims", "sources_read", "read_warnings"):
+        read = plan(catalog.queries()[name](spark, SF))
+        assert read.count("ArrowEvalPython") == 1 and "Filter (size(" not in read  # no filter that reads the file again
+    assert catalog_files._files(spark, SF, {"resume.txt": catalog_files._resume()}).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
+def test_claims_are_normalized_once_and_by_all_cores(spark):
+    normalized = plan(catalog.queries()["normalize_claims"](spark, SF))
+    assert normalized.count("^mailto:") == 2  # the address is tested, then given
+    assert catalog_files._raw_claims(spark, SF).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
